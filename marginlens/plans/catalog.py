@@ -17,6 +17,13 @@ Query = Callable[[SalesModel], DataFrame]
 FINE_CUTS = (Decimal("0.02"), Decimal("0.05"), Decimal("0.08"))
 LINE_LEVEL = (0.08, -2.0, 0.9)
 
+
+
+def _cents(df: DataFrame) -> DataFrame:
+    """Sums of doubles to two decimals: the digits that do not depend on the order of summation."""
+    return df.select(*[F.round(c, 2).alias(c) for c in df.columns])
+
+
 _MODEL: dict[str, Query] = {
     "dim_date": lambda m: m.dim_date,
     "dim_product": lambda m: m.dim_product,
@@ -85,8 +92,8 @@ _BRIDGE: dict[str, Query] = {
     "pvm_by_channel": lambda m: bridge.pvm_by_channel(m.compared),
     "pvm_by_category": lambda m: bridge.pvm_by_category(m.compared, m.dim_sku),
     "pvm_top_cost_increases": lambda m: bridge.pvm_top_cost_increases(m.compared, m.dim_sku),
-    "pvm_bridge_totals": lambda m: bridge.bridge_totals(m.compared),
-    "pvm_identity_gap": lambda m: bridge.identity_gap(m.compared),
+    "pvm_bridge_totals": lambda m: _cents(bridge.bridge_totals(m.compared)),
+    "pvm_identity_gap": lambda m: _cents(bridge.identity_gap(m.compared)),
     "pvm_partition_audit": lambda m: bridge.partition_audit(bridge.pvm_lines(m.compared)),
 }
 
@@ -158,7 +165,7 @@ _WHATIF: dict[str, Query] = {
     "discount_rule_cap": lambda m: whatif.discount_rules(
         discounts.disc_lines_p1(m.p1, m.params), [whatif.DiscountRule("cap", cap) for cap in m.params.discount_caps]
     ),
-    "price_change_line_level": lambda m: whatif.price_change_line_level(m.p1, *LINE_LEVEL),
+    "price_change_line_level": lambda m: _cents(whatif.price_change_line_level(m.p1, *LINE_LEVEL)),
 }
 
 _SUMMARY: dict[str, Query] = {
