@@ -32,24 +32,33 @@ def _resum(*names: str) -> list[Column]:
 def kpi_summary(lines: DataFrame) -> DataFrame:
     """Figures per (period, channel) and per period; ``channel`` is NULL and ``is_total`` true on a period's total.
 
-    Two grouping sets instead of a roll-up: the grand total over both periods is never computed.
+    Two grouping sets instead of a roll-up: the grand total over both periods is never computed. Additive measures collapse
+    map-side to one row per period and channel. Distinct orders need a shuffle per order, so they are counted from the three
+    columns that matter instead of dragging every measure through that shuffle.
     """
+    known = tagged(lines)
     period, channel = F.col("period"), F.col("channel")
     below = F.col("is_below_cost")
-    grouped = (
-        tagged(lines)
-        .groupingSets([[period, channel], [period]], period, channel)
-        .agg(
-            (F.grouping("channel") == 1).alias("is_total"),
-            *sums(*_MONEY, "quantity"),
-            F.count_distinct("order_number").alias("orders"),
-            F.count(F.lit(1)).alias("lines"),
-            F.count("is_below_cost").alias("known_lines"),
-            F.count_if(below).alias("below_cost_lines"),
-            sum_if(below, "gross_margin").alias("below_cost_margin"),
-        )
+    sets = [[period, channel], [period]]
+    is_total = (F.grouping("channel") == 1).alias("is_total")
+    additive = ("sum_net_sales", "sum_cogs", "sum_gross_margin", "sum_gross_amount", "sum_discount_amount", "sum_quantity",
+                "lines", "known_lines", "below_cost_lines", "below_cost_margin")
+    per_channel = known.groupBy("period", "channel").agg(
+        *sums(*_MONEY, "quantity"),
+        F.count(F.lit(1)).alias("lines"),
+        F.count("is_below_cost").alias("known_lines"),
+        F.count_if(below).alias("below_cost_lines"),
+        sum_if(below, "gross_margin").alias("below_cost_margin"),
+    )
+    totals = per_channel.groupingSets(sets, period, channel).agg(is_total, *[F.sum(a).alias(a) for a in additive])
+    orders = known.select("period", "channel", "order_number").groupingSets(sets, period, channel).agg(
+        is_total, F.count_distinct("order_number").alias("orders")
+    )
+    matched = orders.select(
+        F.col("period").alias("o_period"), F.col("channel").alias("o_channel"), F.col("is_total").alias("o_total"), "orders"
     )
-    return grouped.select(
+    same = (period == F.col("o_period")) & channel.eqNullSafe(F.col("o_channel")) & (F.col("is_total") == F.col("o_total"))
+    return totals.join(matched, same).select(
         "period",
         "channel",
         "is_total",

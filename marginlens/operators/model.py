@@ -75,13 +75,14 @@ def dim_product(stg_product: DataFrame, stg_subcategory: DataFrame, stg_category
     )
 
 
-def dim_sku(products: DataFrame) -> DataFrame:
+def dim_sku(products: DataFrame, attributes: tuple[str, ...] = SKU_ATTRIBUTES) -> DataFrame:
     """Attributes of the newest version of each sku.
 
-    ``max_by`` over a struct combines map-side and needs no sort; the struct keeps attributes that are NULL in that version.
+    ``max_by`` over a struct combines map-side, so no task ever holds all versions of a sku; the struct keeps attributes that
+    are NULL in the newest version. Callers name the attributes they use, because an aggregated struct cannot be pruned later.
     """
-    newest = F.max_by(F.struct(*SKU_ATTRIBUTES), "product_key").alias("newest")
-    return products.groupBy("sku").agg(newest).select("sku", *[F.col(f"newest.{a}").alias(a) for a in SKU_ATTRIBUTES])
+    newest = F.max_by(F.struct(*attributes), "product_key").alias("newest")
+    return products.groupBy("sku").agg(newest).select("sku", *[F.col(f"newest.{a}").alias(a) for a in attributes])
 
 
 def dim_territory(stg_territory: DataFrame) -> DataFrame:
@@ -193,19 +194,19 @@ def unified_lines(stg_reseller_sales: DataFrame, stg_internet_sales: DataFrame,
     return b2b.unionByName(b2c)
 
 
-def fact_sales(lines: DataFrame, products: DataFrame) -> DataFrame:
-    """Fact at order-line grain: ``lines`` in the unified layout, ``products`` with product_key and sku."""
-    keys = products.select("product_key", "sku")
-    return (
-        lines.join(keys, "product_key", "left")
-        .withColumns(
-            {
-                "sales_line_id": F.concat("channel", F.lit("|"), "order_number", F.lit("|"), F.col("order_line").cast("string")),
-                "date_key": F.date_format("order_date", "yyyyMMdd").cast("int"),
-                "gross_margin": F.col("net_sales") - F.col("cogs"),
-                "margin_before_discount": F.col("gross_amount") - F.col("cogs"),
-                "is_below_cost": F.col("net_sales") < F.col("cogs"),
-            }
-        )
-        .select(*FACT_COLUMNS)
-    )
+def with_sku(lines: DataFrame, products: DataFrame) -> DataFrame:
+    """Unified lines with the stable sku of their product version; NULL for an unknown product."""
+    return lines.join(products.select("product_key", "sku"), "product_key", "left")
+
+
+def fact_sales(lines: DataFrame) -> DataFrame:
+    """Fact at order-line grain from unified lines that carry their sku."""
+    return lines.withColumns(
+        {
+            "sales_line_id": F.concat("channel", F.lit("|"), "order_number", F.lit("|"), F.col("order_line").cast("string")),
+            "date_key": F.date_format("order_date", "yyyyMMdd").cast("int"),
+            "gross_margin": F.col("net_sales") - F.col("cogs"),
+            "margin_before_discount": F.col("gross_amount") - F.col("cogs"),
+            "is_below_cost": F.col("net_sales") < F.col("cogs"),
+        }
+    ).select(*FACT_COLUMNS)

@@ -51,7 +51,7 @@ _QUALITY: dict[str, Query] = {
     "chk_net_sales_reconcile_staging": lambda m: quality.sum_reconciles(m.fact(), m.staged_lines(), "net_sales"),
     "chk_cogs_reconcile_staging": lambda m: quality.sum_reconciles(m.fact(), m.staged_lines(), "cogs"),
     "chk_orphan_products": _line_rule("chk_orphan_products"),
-    "chk_orphan_sku_category": lambda m: quality.orphan_sku_category(m.fact(), m.dim_sku),
+    "chk_orphan_sku_category": lambda m: quality.orphan_sku_category(m.fact(), m.skus("category")),
     "chk_orphan_dates": lambda m: quality.orphan_keys(m.fact(), m.dim_date, "date_key"),
     "chk_orphan_territories": lambda m: quality.orphan_keys(m.fact(), m.dim_territory, "territory_key"),
     "chk_orphan_promotions": lambda m: quality.orphan_keys(m.fact(), m.dim_promotion, "promotion_key"),
@@ -76,57 +76,49 @@ _QUALITY: dict[str, Query] = {
 
 _KPI: dict[str, Query] = {
     "kpi_summary": lambda m: kpi.kpi_summary(m.sales_period),
-    "kpi_by_category": lambda m: kpi.kpi_by_category(m.sales_period, m.dim_sku),
-    "kpi_by_subcategory": lambda m: kpi.kpi_by_subcategory(m.p1, m.dim_sku),
+    "kpi_by_category": lambda m: kpi.kpi_by_category(m.sales_period, m.skus("category")),
+    "kpi_by_subcategory": lambda m: kpi.kpi_by_subcategory(m.p1, m.skus("category", "subcategory")),
     "kpi_by_territory": lambda m: kpi.kpi_by_territory(m.p1, m.dim_territory),
     "kpi_by_reseller_type": lambda m: kpi.kpi_by_reseller_type(m.p1, m.dim_reseller),
     "kpi_monthly": lambda m: kpi.kpi_monthly(m.fact(), m.dim_date),
     "kpi_by_calendar_year": lambda m: kpi.kpi_by_calendar_year(m.fact(), m.dim_date),
-    "kpi_price_structure": lambda m: kpi.kpi_price_structure(m.p1, m.dim_sku, m.params),
+    "kpi_price_structure": lambda m: kpi.kpi_price_structure(m.p1, m.skus("category"), m.params),
 }
 
 _BRIDGE: dict[str, Query] = {
-    "pvm_lines": lambda m: bridge.pvm_lines(m.compared),
+    "pvm_lines": lambda m: m.pvm_lines,
     "pvm_lines_outer": lambda m: bridge.pvm_lines(bridge.compare_periods_by_join(m.sales_period)),
     "pvm_bridge": lambda m: bridge.pvm_bridge(m.compared, m.params),
     "pvm_by_channel": lambda m: bridge.pvm_by_channel(m.compared),
-    "pvm_by_category": lambda m: bridge.pvm_by_category(m.compared, m.dim_sku),
-    "pvm_top_cost_increases": lambda m: bridge.pvm_top_cost_increases(m.compared, m.dim_sku),
+    "pvm_by_category": lambda m: bridge.pvm_by_category(m.compared, m.skus("category")),
+    "pvm_top_cost_increases": lambda m: bridge.pvm_top_cost_increases(m.compared, m.skus("product_name")),
     "pvm_bridge_totals": lambda m: _cents(bridge.bridge_totals(m.compared)),
     "pvm_identity_gap": lambda m: _cents(bridge.identity_gap(m.compared)),
-    "pvm_partition_audit": lambda m: bridge.partition_audit(bridge.pvm_lines(m.compared)),
+    "pvm_partition_audit": lambda m: bridge.partition_audit(m.pvm_lines),
 }
 
 
-def _pareto_sku(m: SalesModel) -> DataFrame:
-    return pareto.pareto_sku(m.p1, m.dim_sku, m.params)
-
-
-def _pareto_reseller(m: SalesModel) -> DataFrame:
-    return pareto.pareto_reseller(m.p1, m.dim_reseller, m.params)
-
-
 def _losses(m: SalesModel) -> DataFrame:
-    return pareto.loss_making_sku_channel(m.p1, m.dim_sku)
+    return pareto.loss_making_sku_channel(m.p1, m.skus("product_name", "category", "subcategory"))
 
 
 _PARETO: dict[str, Query] = {
-    "pareto_sku": _pareto_sku,
-    "pareto_reseller": _pareto_reseller,
-    "abc_sku_summary": lambda m: pareto.abc_summary(_pareto_sku(m), "skus"),
-    "abc_reseller_summary": lambda m: pareto.abc_summary(_pareto_reseller(m), "resellers"),
+    "pareto_sku": lambda m: m.pareto_sku,
+    "pareto_reseller": lambda m: m.pareto_reseller,
+    "abc_sku_summary": lambda m: pareto.abc_summary(m.pareto_sku, "skus"),
+    "abc_reseller_summary": lambda m: pareto.abc_summary(m.pareto_reseller, "resellers"),
     "loss_making_sku_channel": _losses,
-    "pareto_peak": lambda m: pareto.pareto_peak(_pareto_sku(m)),
-    "pareto_argmax": lambda m: pareto.pareto_argmax(_pareto_sku(m)),
-    "worst_skus": lambda m: pareto.worst_items(pareto.sku_margins(m.p1, m.dim_sku, m.params)),
-    "hidden_loss_skus": lambda m: pareto.hidden_losses(m.p1, m.dim_sku),
+    "pareto_peak": lambda m: pareto.pareto_peak(m.pareto_sku),
+    "pareto_argmax": lambda m: pareto.pareto_argmax(m.pareto_sku),
+    "worst_skus": lambda m: pareto.worst_items(pareto.sku_margins(m.p1, m.skus("product_name", "category", "subcategory"), m.params)),
+    "hidden_loss_skus": lambda m: pareto.hidden_losses(m.p1, m.skus("category")),
     "pareto_audit_sku": lambda m: pareto.pareto_audit(
-        pareto.rank_items(pareto.sku_margins(m.p1, m.dim_sku, m.params), "sku"), m.params
+        pareto.rank_items(pareto.sku_margins(m.p1, m.skus("product_name", "category", "subcategory"), m.params), "sku"), m.params
     ),
     "pareto_audit_reseller": lambda m: pareto.pareto_audit(
         pareto.rank_items(pareto.reseller_margins(m.p1, m.dim_reseller, m.params), "reseller_key"), m.params
     ),
-    "abc_points_by_class": lambda m: pareto.abc_points_by_class(_pareto_sku(m)),
+    "abc_points_by_class": lambda m: pareto.abc_points_by_class(m.pareto_sku),
 }
 
 _DISCOUNTS: dict[str, Query] = {
@@ -176,9 +168,9 @@ _SUMMARY: dict[str, Query] = {
         summary.kpi_matrix(kpi.kpi_summary(m.sales_period)), m.params
     ),
     "b2b_share_of_sales": lambda m: summary.b2b_share_of_sales(summary.kpi_matrix(kpi.kpi_summary(m.sales_period)), m.params),
-    "categories_p1": lambda m: summary.categories_p1(kpi.kpi_by_category(m.sales_period, m.dim_sku)),
-    "price_structure_labelled": lambda m: summary.price_structure_labelled(kpi.kpi_price_structure(m.p1, m.dim_sku, m.params)),
-    "loss_making_summary": lambda m: summary.loss_making_summary(m.p1, m.dim_sku, m.params),
+    "categories_p1": lambda m: summary.categories_p1(kpi.kpi_by_category(m.sales_period, m.skus("category"))),
+    "price_structure_labelled": lambda m: summary.price_structure_labelled(kpi.kpi_price_structure(m.p1, m.skus("category"), m.params)),
+    "loss_making_summary": lambda m: summary.loss_making_summary(m.p1, m.skus("category"), m.params),
     "loss_by_category": lambda m: summary.loss_by_category(_losses(m)),
     "loss_top8": lambda m: summary.loss_top(_losses(m)),
     "pricing_vs_cost": lambda m: summary.pricing_vs_cost(m.compared, m.params),
@@ -187,15 +179,15 @@ _SUMMARY: dict[str, Query] = {
 _REPORT: dict[str, Query] = {
     "waterfall_steps": lambda m: report.waterfall_steps(bridge.pvm_bridge(m.compared, m.params)),
     "waterfall_steps_by_channel": lambda m: report.waterfall_steps_by_channel(bridge.pvm_by_channel(m.compared), m.params),
-    "subcategory_pivot_top10": lambda m: report.subcategory_pivot_top(kpi.kpi_by_subcategory(m.p1, m.dim_sku), m.params),
+    "subcategory_pivot_top10": lambda m: report.subcategory_pivot_top(kpi.kpi_by_subcategory(m.p1, m.skus("category", "subcategory")), m.params),
     "monthly_window": lambda m: report.monthly_window(kpi.kpi_monthly(m.fact(), m.dim_date), m.params),
     "worst_month": lambda m: report.worst_month(kpi.kpi_monthly(m.fact(), m.dim_date), m.params),
     "promo_top6": lambda m: report.promo_top(discounts.disc_by_promotion(m.p1, m.dim_promotion, m.params)),
-    "worst_cost_increase": lambda m: report.worst_cost_increase(bridge.pvm_top_cost_increases(m.compared, m.dim_sku)),
+    "worst_cost_increase": lambda m: report.worst_cost_increase(bridge.pvm_top_cost_increases(m.compared, m.skus("product_name"))),
     "note_lookups": lambda m: report.note_lookups(
-        kpi.kpi_by_subcategory(m.p1, m.dim_sku),
-        pareto.abc_summary(_pareto_sku(m), "skus"),
-        pareto.abc_summary(_pareto_reseller(m), "resellers"),
+        kpi.kpi_by_subcategory(m.p1, m.skus("category", "subcategory")),
+        pareto.abc_summary(m.pareto_sku, "skus"),
+        pareto.abc_summary(m.pareto_reseller, "resellers"),
         quality.period_coverage(m.fact()),
         m.params,
     ),

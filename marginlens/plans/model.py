@@ -7,7 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginlens.operators import bridge, model, period
+from marginlens.operators import bridge, model, pareto, period
 from marginlens.params import Params
 from marginlens.sources.order_tables import OrderTables
 
@@ -42,8 +42,25 @@ class SalesModel:
 
     @property
     def compared(self) -> DataFrame:
+        """Both periods side by side per (sku, channel)."""
         return bridge.compare_periods(self.sales_period)
 
+    @property
+    def pvm_lines(self) -> DataFrame:
+        return bridge.pvm_lines(self.compared)
+
+    @property
+    def pareto_sku(self) -> DataFrame:
+        return pareto.pareto_sku(self.p1, self.skus("product_name", "category", "subcategory"), self.params)
+
+    @property
+    def pareto_reseller(self) -> DataFrame:
+        return pareto.pareto_reseller(self.p1, self.dim_reseller, self.params)
+
+    def skus(self, *attributes: str) -> DataFrame:
+        """The sku dimension with only the named attributes."""
+        return model.dim_sku(self.dim_product, attributes)
+
     @property
     def dims(self) -> dict[str, DataFrame]:
         return {
@@ -77,7 +94,7 @@ class FileModel(SalesModel):
         return model.unified_lines(self.staging["FactResellerSales"], self.staging["FactInternetSales"], self.params)
 
     def fact(self, between: tuple[date, date] | None = None) -> DataFrame:
-        return model.fact_sales(self.staged_lines(), model.product_keys(self.staging["DimProduct"]))
+        return model.fact_sales(model.with_sku(self.staged_lines(), model.product_keys(self.staging["DimProduct"])))
 
     @cached_property
     def dim_date(self) -> DataFrame:
@@ -125,7 +142,7 @@ class OrderModel(SalesModel):
         return self.source.sales_lines()
 
     def fact(self, between: tuple[date, date] | None = None) -> DataFrame:
-        return model.fact_sales(self.source.sales_lines(between), model.product_keys(self.source.products()))
+        return model.fact_sales(self.source.sales_lines(between))
 
     @cached_property
     def dim_date(self) -> DataFrame:

@@ -66,8 +66,11 @@ class OrderTables:
     def _is_b2b(self) -> Column:
         return F.col("c_mktsegment").isin(*B2B_SEGMENTS)
 
+    def _sku(self) -> Column:
+        return F.concat("p_brand", F.lit("|"), "p_name")
+
     def sales_lines(self, between: tuple[date, date] | None = None) -> DataFrame:
-        """Order lines of both channels in the unified layout, in one pass over lineitem.
+        """Order lines of both channels in the unified layout with their sku, in one pass over lineitem.
 
         ``between`` (inclusive) is applied to the raw order timestamp so that it reaches the orders scan.
         """
@@ -88,7 +91,9 @@ class OrderTables:
         items = self.table("lineitem").select(
             "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"
         )
-        parts = self.table("part").select("p_partkey", money("p_retailprice").alias("retail"))
+        # Cost and sku come from one look-up: two joins on the same key would share a stage, and adaptive execution does not
+        # split a hot part there because the second join relies on the partitioning of the first.
+        parts = self.table("part").select("p_partkey", money("p_retailprice").alias("retail"), self._sku().alias("sku"))
         lines = items.join(placed, F.col("l_orderkey") == F.col("o_orderkey")).join(
             parts, F.col("l_partkey") == F.col("p_partkey")
         )
@@ -120,6 +125,7 @@ class OrderTables:
                 F.concat(F.lit("SO"), F.col("o_orderkey").cast("string")).alias("order_number"),
                 F.col("l_linenumber").cast("int").alias("order_line"),
                 F.col("l_partkey").cast("bigint").alias("product_key"),
+                "sku",
                 F.when(on_b2b, F.col("o_custkey")).cast("bigint").alias("reseller_key"),
                 F.when(~on_b2b, F.col("o_custkey")).cast("bigint").alias("customer_key"),
                 F.col("c_nationkey").cast("int").alias("territory_key"),
@@ -142,7 +148,7 @@ class OrderTables:
         size = F.col("p_size")
         return part.select(
             F.col("p_partkey").cast("string").alias("ProductKey"),
-            F.concat("p_brand", F.lit("|"), "p_name").alias("ProductAlternateKey"),
+            self._sku().alias("ProductAlternateKey"),
             _subcategory_key().cast("string").alias("ProductSubcategoryKey"),
             F.col("p_name").alias("EnglishProductName"),
             F.col("p_name").alias("ModelName"),
