@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 from marginlens.sources.schemas import FILES, layout
 
 
-def scan_delimited(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def scan_delimited(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Rows of a headerless ``|`` file: an empty field is NULL, quotes and backslashes are plain characters.
 
     A row that does not fit the schema fails the job instead of becoming NULLs.
