@@ -98,10 +98,7 @@ def test_audit_sees_a_wrong_ranking(spark):
     ranked = pareto.rank_items(items(spark, CASES["mixed"]), "sku")
     swapped = ranked.withColumn("rank_margin", F.when(F.col("rank_margin") == 1, 2).when(F.col("rank_margin") == 2, 1).otherwise(F.col("rank_margin")))
     assert one(pareto.pareto_audit(swapped, PARAMS))["order_breaks"] > 0
-    shifted = ranked.withColumn("cum_before", F.col("cum_before") + 60)
-    # classes are derived from cum_before, so a shift shows in the totals only
     assert one(pareto.pareto_audit(ranked.withColumn("cum_margin", F.col("cum_margin") + 1), PARAMS))["last_not_total"] == 1
-    assert shifted.count() == 8
 
 
 def test_summaries_add_up(small):
