@@ -17,11 +17,14 @@ _local_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a scratch folder of our own only in local mode where it is unset."""
-    configured = spark.conf.get(CHECKPOINT_DIR, None)
+    """The cluster's checkpoint folder: ``spark.checkpoint.dir``, else the one set on the context.
+
+    A scratch folder of our own is used only in local mode and only where neither is set.
+    """
+    context = spark.sparkContext
+    configured = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
     return _local_dirs.setdefault(context.applicationId, tempfile.mkdtemp(prefix="marginlens-"))

@@ -204,7 +204,7 @@ def fact_sales(lines: DataFrame) -> DataFrame:
     return lines.withColumns(
         {
             "sales_line_id": F.concat("channel", F.lit("|"), "order_number", F.lit("|"), F.col("order_line").cast("string")),
-            "date_key": F.date_format("order_date", "yyyyMMdd").cast("int"),
+            "date_key": F.year("order_date") * 10000 + F.month("order_date") * 100 + F.dayofmonth("order_date"),
             "gross_margin": F.col("net_sales") - F.col("cogs"),
             "margin_before_discount": F.col("gross_amount") - F.col("cogs"),
             "is_below_cost": F.col("net_sales") < F.col("cogs"),

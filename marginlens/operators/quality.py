@@ -78,27 +78,30 @@ def margin_discount_identity(fact: DataFrame, params: Params) -> DataFrame:
 # ---- reconciliation with staging ---------------------------------------------------------------------------------
 
 
-def _totals(rows: DataFrame) -> DataFrame:
-    return rows.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum("net_sales").cast("decimal(38,4)").alias("net_sales"),
-        F.sum("cogs").cast("decimal(38,4)").alias("cogs"),
-    )
+_TOTALS = ("rows", "net_sales", "cogs")
+
+
+def _total_columns() -> list[Column]:
+    amounts = [F.sum(n).cast("decimal(38,4)").alias(n) for n in _TOTALS[1:]]
+    return [F.count(F.lit(1)).alias(_TOTALS[0]), *amounts]
+
+
+def _totals(lines: DataFrame) -> DataFrame:
+    return lines.agg(*_total_columns())
 
 
-def _staging_gaps(fact_totals: DataFrame, staging_totals: DataFrame) -> DataFrame:
-    """Absolute difference of row count and sums; both inputs are one row, so the union is two rows."""
-    names = ("rows", "net_sales", "cogs")
-    signed = fact_totals.select(*names).unionByName(staging_totals.select(*[(-F.col(n)).alias(n) for n in names]))
-    return signed.agg(*[F.abs(F.sum(n)).alias(n) for n in names])
+def _staging_gaps(fact: DataFrame, staged_lines: DataFrame) -> DataFrame:
+    """Absolute difference of row count and sums; the union holds one row per side."""
+    signed = _totals(fact).unionByName(_totals(staged_lines).select(*[(-F.col(n)).alias(n) for n in _TOTALS]))
+    return signed.agg(*[F.abs(F.sum(n)).alias(n) for n in _TOTALS])
 
 
 def rows_equal_staging(fact: DataFrame, staged_lines: DataFrame) -> DataFrame:
-    return _staging_gaps(_totals(fact), _totals(staged_lines)).select(F.col("rows").alias("violations"))
+    return _staging_gaps(fact, staged_lines).select(F.col("rows").alias("violations"))
 
 
 def sum_reconciles(fact: DataFrame, staged_lines: DataFrame, measure: str) -> DataFrame:
-    return _staging_gaps(_totals(fact), _totals(staged_lines)).select(dbl(measure).alias("violations"))
+    return _staging_gaps(fact, staged_lines).select(dbl(measure).alias("violations"))
 
 
 def grain_unique(fact: DataFrame) -> DataFrame:
@@ -172,21 +175,22 @@ def _key_usage(fact: DataFrame) -> DataFrame:
     return counted.withColumn("usage_set", which).drop("gid")
 
 
+def _totals_and_rules(fact: DataFrame, staged_lines: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """One row: violations of every line rule and the absolute differences to staging, from one pass over each input."""
+    of_fact = fact.agg(*_total_columns(), *[F.count_if(broken).alias(rule) for rule, broken in rules.items()])
+    of_staging = _totals(staged_lines).select(
+        *[(-F.col(n)).alias(n) for n in _TOTALS], *[F.lit(0).cast("bigint").alias(rule) for rule in rules]
+    )
+    both = of_fact.unionByName(of_staging)
+    return both.agg(*[F.abs(F.sum(n)).alias(n) for n in _TOTALS], *[F.sum(rule).alias(rule) for rule in rules])
+
+
 def quality_report(
     fact: DataFrame, staged_lines: DataFrame, dims: dict[str, DataFrame], products: DataFrame, params: Params
 ) -> DataFrame:
     """One row per rule: ``check``, ``violations`` (double)."""
     rules = line_rules(params)
-    local = stage(
-        fact.agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.sum("net_sales").cast("decimal(38,4)").alias("net_sales"),
-            F.sum("cogs").cast("decimal(38,4)").alias("cogs"),
-            *[F.count_if(broken).alias(rule) for rule, broken in rules.items()],
-        ),
-        "line-rules",
-    )
-    gaps = _staging_gaps(local, _totals(staged_lines))
+    local = _totals_and_rules(fact, staged_lines, rules)
     usage = stage(_key_usage(fact), "key-usage")
 
     def used(index: int) -> DataFrame:
@@ -207,9 +211,9 @@ def quality_report(
         return result.select(F.lit(rule).alias("check"), dbl("violations").alias("violations"))
 
     parts = [
-        local.select(rows_from(*[named(rule, F.col(rule)) for rule in rules])),
-        gaps.select(
+        local.select(
             rows_from(
+                *[named(rule, F.col(rule)) for rule in rules],
                 named("chk_fact_rows_equal_staging", F.col("rows")),
                 named("chk_net_sales_reconcile_staging", F.col("net_sales")),
                 named("chk_cogs_reconcile_staging", F.col("cogs")),

@@ -74,6 +74,14 @@ def price_grid(
     return spread.select(*by, "x", "elasticity", price_change(F.col("x"), F.col("elasticity"), variable_share).alias("margin_delta"))
 
 
+def price_table(
+    segments: DataFrame, steps: Iterable[float], elasticities: Iterable[float], variable_share: float = 1.0
+) -> DataFrame:
+    """The price grid with one row per step and one column per elasticity, named ``e=<elasticity>``."""
+    spread = segments.withColumn("x", F.explode(F.lit(list(steps))))
+    return spread.select("x", *[price_change(F.col("x"), e, variable_share).alias(f"e={e:g}") for e in elasticities])
+
+
 def break_even_by_step(segments: DataFrame, steps: Iterable[float], variable_share: float = 1.0) -> DataFrame:
     spread = segments.withColumn("x", F.explode(F.lit(list(steps))))
     return spread.select("x", break_even_elasticity(F.col("x"), variable_share).alias("break_even_elasticity"))

@@ -145,6 +145,7 @@ _WHATIF: dict[str, Query] = {
     "price_grid_by_category": lambda m: whatif.price_grid(
         whatif.segment(_losses(m), "category"), m.params.price_steps, m.params.elasticities, by=("category",)
     ),
+    "price_table": lambda m: whatif.price_table(_segment(m), m.params.price_steps, m.params.elasticities),
     "price_change": lambda m: whatif.price_sensitivity(_segment(m), m.params.price_steps[-1], m.params.elasticities[1], 1.0),
     "price_sensitivity": lambda m: whatif.price_sensitivity(_segment(m), *m.params.sensitivity),
     "break_even_elasticity": lambda m: whatif.break_even_by_step(whatif.segment(m.p1), m.params.price_steps),

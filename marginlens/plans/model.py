@@ -30,6 +30,19 @@ class SalesModel:
 
     # ---- shared
 
+    def create_views(self, prefix: str = "") -> list[str]:
+        """Register the tables of the model as temporary views for ad-hoc SQL; returns their names.
+
+        Views are lazy: a query on one reads what it needs and nothing is computed here, except that the derived tables of a
+        model that is not stored are staged.
+        """
+        tables = {f"dim_{name}": df for name, df in self.dims.items()}
+        tables |= {"fact_sales": self.fact(), "sales_period": self.sales_period, "pvm_lines": self.pvm_lines}
+        tables |= {"pareto_sku": self.pareto_sku, "pareto_reseller": self.pareto_reseller}
+        for name, df in tables.items():
+            df.createOrReplaceTempView(prefix + name)
+        return [prefix + name for name in tables]
+
     @property
     def sales_period(self) -> DataFrame:
         p = self.params

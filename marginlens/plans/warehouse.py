@@ -36,6 +36,7 @@ class Warehouse(SalesModel):
 
     def __init__(self, spark: SparkSession, path: str, params: Params, source: SalesModel | None = None):
         self.spark, self.path, self.params, self.source = spark, path.rstrip("/"), params, source
+        self._tables: dict[str, DataFrame] = {}
         for name in DIMENSIONS:
             setattr(self, f"dim_{name}", self.table(f"dim_{name}"))
 
@@ -63,7 +64,10 @@ class Warehouse(SalesModel):
         return stored
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        """Scan of a stored table. The files are listed once per warehouse, not once per query."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.path}/{name}")
+        return self._tables[name]
 
     # ---- SalesModel
 

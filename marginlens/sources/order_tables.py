@@ -179,7 +179,7 @@ class OrderTables:
         day = F.col("day")
         days = self.table("orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
         return days.select(
-            F.date_format(day, "yyyyMMdd").cast("int").alias("DateKey"),
+            (F.year(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day)).alias("DateKey"),
             day.alias("FullDateAlternateKey"),
             F.date_format(day, "MMMM").alias("EnglishMonthName"),
             F.element_at(F.lit(list(FRENCH_MONTHS)), F.month(day)).alias("FrenchMonthName"),

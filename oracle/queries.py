@@ -383,6 +383,9 @@ _GRID_FROM = f"FROM seg, (VALUES {_LISTS['x']}) AS xs(x), (VALUES {_LISTS['e']})
 ORACLES["price_grid"] = _on_segment(f"SELECT x, elasticity, {_price('x', 'elasticity', '1.0::DOUBLE')} AS margin_delta {_GRID_FROM}")
 ORACLES["price_grid_by_category"] = _on_segment(
     f"SELECT category, x, elasticity, {_price('x', 'elasticity', '1.0::DOUBLE')} AS margin_delta {_GRID_FROM}", _SEGMENT_BY)
+ORACLES["price_table"] = _on_segment(
+    "SELECT x, " + ", ".join(f"""{_price('x', f'({e}::DOUBLE)', '1.0::DOUBLE')} AS "e={e:g}" """ for e in P.elasticities)
+    + f"FROM seg, (VALUES {_LISTS['x']}) AS xs(x)")
 for _name, (_x, _e, _v) in {
     "price_change": (P.price_steps[-1], P.elasticities[1], 1.0),
     "price_sensitivity": P.sensitivity,

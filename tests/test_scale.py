@@ -127,6 +127,7 @@ def test_staged_tables_go_to_the_shared_folder(spark):
 def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
     class Context:
         master, applicationId = "spark://somewhere:7077", "app"
+        getCheckpointDir = staticmethod(lambda: None)
 
     class Conf:
         @staticmethod

@@ -64,6 +64,15 @@ def test_gate(store, small):
         store.gate(ignore=("chk_fact_grain_unique",)) if "chk_sku_has_unique_category" in failing else store.gate()
 
 
+def test_views_answer_sql(spark, store):
+    names = store.create_views("w_")
+    assert {"w_fact_sales", "w_sales_period", "w_pvm_lines", "w_pareto_sku", "w_pareto_reseller", "w_dim_sku"} <= set(names)
+    worst = spark.sql("SELECT sku FROM w_pareto_sku JOIN w_dim_sku USING (sku) WHERE gross_margin < 0 ORDER BY gross_margin, sku")
+    expected = store.pareto_sku.filter("gross_margin < 0").orderBy("gross_margin", "sku").select("sku")
+    assert worst.collect() == expected.collect()
+    assert spark.sql("SELECT count(*) FROM w_sales_period WHERE period = 'P1'").first()[0] == store.p1.count()
+
+
 def test_reconciliation_needs_the_source(spark, store):
     reopened = Warehouse(spark, store.path, store.params)
     assert one(reopened.query("product_version_count")) == one(store.query("product_version_count"))
