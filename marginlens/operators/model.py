@@ -158,7 +158,7 @@ def channel_usage(fact: DataFrame, channels: DataFrame) -> DataFrame:
 
 
 # Staging name of each measure of a sales line, the same in both channel files.
-_LINE_MEASURES = {
+LINE_MEASURES = {
     "quantity": "OrderQuantity",
     "unit_price": "UnitPrice",
     "gross_amount": "ExtendedAmount",
@@ -184,7 +184,7 @@ def channel_lines(stg_sales: DataFrame, channel: str, party: str) -> DataFrame:
         F.col("SalesTerritoryKey").alias("territory_key"),
         F.col("PromotionKey").alias("promotion_key"),
         F.col("OrderDate").cast("date").alias("order_date"),
-        *[F.col(raw).alias(name) for name, raw in _LINE_MEASURES.items()],
+        *[F.col(raw).alias(name) for name, raw in LINE_MEASURES.items()],
     )
 
 

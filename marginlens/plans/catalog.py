@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from marginlens.operators import bridge, discounts, kpi, model, pareto, quality, report, summary, whatif
+from marginlens.plans import files
 from marginlens.plans.model import SalesModel
 
 Query = Callable[[SalesModel], DataFrame]
@@ -194,8 +195,19 @@ _REPORT: dict[str, Query] = {
     ),
 }
 
+# Through files: the delimited source layouts, the CSV export and the JSON results, on whole tables.
+_FILES: dict[str, Query] = {
+    "files_fact_sales": lambda m: files.delimited_copy(m, files.SALES_FILES).fact(),
+    "files_dim_product": lambda m: files.delimited_copy(m, files.PRODUCT_FILES).dim_product,
+    "files_dim_customer": lambda m: files.delimited_copy(m, files.CUSTOMER_FILES).dim_customer,
+    "files_kpi_summary": lambda m: kpi.kpi_summary(files.delimited_copy(m, files.SALES_FILES).sales_period),
+    "files_row_counts": lambda m: quality.row_counts(files.delimited_copy(m).staging_tables()),
+    "export_reconcile": files.export_reconcile,
+    "results_json_bridge": lambda m: files.json_round_trip(m, "pvm_bridge", bridge.pvm_bridge(m.compared, m.params)),
+}
+
 CATALOG: dict[str, Query] = {
-    **_MODEL, **_QUALITY, **_KPI, **_BRIDGE, **_PARETO, **_DISCOUNTS, **_WHATIF, **_SUMMARY, **_REPORT,
+    **_FILES, **_MODEL, **_QUALITY, **_KPI, **_BRIDGE, **_PARETO, **_DISCOUNTS, **_WHATIF, **_SUMMARY, **_REPORT,
 }
 
 

@@ -25,6 +25,6 @@ def scan_delimited(spark: SparkSession, path: str, schema: StructType | str) ->
     )
 
 
-def staging(spark: SparkSession, raw_dir: str, suffix: str = ".csv") -> dict[str, DataFrame]:
-    """All source files of ``raw_dir`` by name. A missing file raises here, before any work is planned."""
-    return {name: scan_delimited(spark, f"{raw_dir.rstrip('/')}/{name}{suffix}", layout(name)) for name in FILES}
+def staging(spark: SparkSession, raw_dir: str, names: tuple[str, ...] = FILES, suffix: str = ".csv") -> dict[str, DataFrame]:
+    """The named source files of ``raw_dir``. A missing file raises here, before any work is planned."""
+    return {name: scan_delimited(spark, f"{raw_dir.rstrip('/')}/{name}{suffix}", layout(name)) for name in names}

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from marginlens.functions.exprs import money
+
 TABLES = (
     "dim_date", "dim_product", "dim_sku", "dim_territory", "dim_customer", "dim_reseller", "dim_promotion", "dim_channel",
     "fact_sales", "pvm_lines", "pareto_sku", "pareto_reseller",
@@ -61,13 +63,16 @@ def read_back_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reconcile_export(exported: DataFrame, fact: DataFrame) -> DataFrame:
-    """Row count and money sums of both sides in one row per side."""
+    """Row count and money sums of both sides in one row per side.
+
+    Inferred types are DOUBLE; each amount goes back to DECIMAL before it is summed, so equal files give equal sums.
+    """
 
     def side(name: str, df: DataFrame) -> DataFrame:
         return df.agg(
             F.count(F.lit(1)).alias("rows"),
-            F.sum("net_sales").cast("double").alias("net_sales"),
-            F.sum("cogs").cast("double").alias("cogs"),
+            F.sum(money("net_sales")).cast("double").alias("net_sales"),
+            F.sum(money("cogs")).cast("double").alias("cogs"),
         ).select(F.lit(name).alias("side"), "rows", "net_sales", "cogs")
 
     return side("export", exported).unionByName(side("model", fact))

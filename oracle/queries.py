@@ -538,3 +538,34 @@ ORACLES["note_lookups"] = compose(
         for name, sql in _FIGURES.items()),
     "sku_pareto", "reseller_pareto", "skus", by_subcategory=_BY_SUBCATEGORY, abc_skus=_abc("sku_pareto", "skus"),
     abc_resellers=_abc("reseller_pareto", "resellers"))
+
+# ---- through files: the same answers, with the separator in skus replaced -----------------------------------------
+
+_NO_PIPE = "REPLACE (replace(sku, '|', '/') AS sku)"
+ORACLES["files_fact_sales"] = f"SELECT * {_NO_PIPE} FROM ({ORACLES['fact_sales']})"
+ORACLES["files_dim_product"] = f"SELECT * {_NO_PIPE} FROM ({ORACLES['dim_product']})"
+ORACLES["files_dim_customer"] = ORACLES["dim_customer"]
+ORACLES["files_kpi_summary"] = ORACLES["kpi_summary"]
+ORACLES["files_row_counts"] = compose(
+    "\nUNION ALL ".join(
+        f"SELECT '{name}' AS table_name, count(*) AS rows FROM ({source})"
+        for name, source in {
+            "FactResellerSales": f"FROM lines WHERE channel = '{P.b2b}'",
+            "FactInternetSales": f"FROM lines WHERE channel = '{P.b2c}'",
+            "DimProduct": "FROM part",
+            "DimProductSubcategory": "SELECT DISTINCT p_type, p_brand FROM part",
+            "DimProductCategory": "SELECT DISTINCT p_type FROM part",
+            "DimDate": "FROM days",
+            "DimReseller": "FROM resellers",
+            "DimCustomer": "FROM consumers",
+            "DimGeography": "FROM places",
+            "DimSalesTerritory": "FROM territories",
+            "DimPromotion": "FROM promotions",
+            "DimCurrency": "FROM region",
+        }.items()),
+    "lines", "days", "resellers", "consumers", "places", "territories", "promotions")
+ORACLES["export_reconcile"] = compose(
+    f"""SELECT side, count(*) AS rows, {dbl('sum(net_sales)')} AS net_sales, {dbl('sum(cogs)')} AS cogs
+        FROM fact, (VALUES ('export'), ('model')) AS sides(side) GROUP BY side""", "fact")
+ORACLES["results_json_bridge"] = compose(
+    "SELECT step, CAST(ord AS BIGINT) AS ord, value FROM bridge", "effects", bridge=_BRIDGE)

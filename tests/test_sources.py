@@ -107,7 +107,7 @@ def test_one_pass_lines_equal_the_union_of_channel_files(small):
     lines = small.staged_lines()
     raw = {"order_number": "SalesOrderNumber", "order_line": "SalesOrderLineNumber", "product_key": "ProductKey",
            "territory_key": "SalesTerritoryKey", "promotion_key": "PromotionKey", "order_date": "OrderDate",
-           "reseller_key": "ResellerKey", "customer_key": "CustomerKey", **model._LINE_MEASURES}
+           "reseller_key": "ResellerKey", "customer_key": "CustomerKey", **model.LINE_MEASURES}
     staged = lines.withColumnsRenamed(raw).drop("sku")
     b2b, b2c = (staged.filter(F.col("channel") == c).drop("channel") for c in small.params.channels)
     united = model.fact_sales(model.with_sku(model.unified_lines(b2b, b2c, small.params), small.dim_product))

@@ -94,9 +94,7 @@ def test_export_counts_and_files(spark, store, exported):
 def test_exported_fact_reconciles(spark, store, exported):
     folder, _ = exported
     sides = {r.pop("side"): r for r in rows_of(exports.reconcile_export(exports.read_back_csv(spark, f"{folder}/fact_sales"), store.fact()))}
-    assert sides["export"]["rows"] == sides["model"]["rows"]
-    assert sides["export"]["net_sales"] == pytest.approx(sides["model"]["net_sales"], abs=1)
-    assert sides["export"]["cogs"] == pytest.approx(sides["model"]["cogs"], abs=1)
+    assert sides["export"] == sides["model"] and sides["model"]["rows"] > 0
 
 
 def test_exported_text_survives(spark, tmp_path):
