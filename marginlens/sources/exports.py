@@ -8,6 +8,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from marginlens.functions.exprs import money
 
+# The tables and pre-aggregated figures that an export consists of.
 TABLES = (
     "dim_date", "dim_product", "dim_sku", "dim_territory", "dim_customer", "dim_reseller", "dim_promotion", "dim_channel",
     "fact_sales", "pvm_lines", "pareto_sku", "pareto_reseller",

@@ -59,9 +59,13 @@ class OrderTables:
         self.spark = spark
         self.base = base.rstrip("/")
         self.params = params or default_params()
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.base}/{name}.parquet")
+        """Scan of one table. Its files are listed and its schema read once, however often a query uses it."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.base}/{name}.parquet")
+        return self._tables[name]
 
     def _is_b2b(self) -> Column:
         return F.col("c_mktsegment").isin(*B2B_SEGMENTS)

@@ -68,6 +68,22 @@ def test_parameters_are_checked():
         Params().with_(no_such_parameter=1)
 
 
+def test_published_defaults():
+    p = Params()
+    assert (str(p.p0_start), str(p.p0_end), str(p.p1_start), str(p.p1_end)) == ("2011-12-01", "2012-11-30", "2012-12-01", "2013-11-30")
+    assert p.channels == ("Revendeurs", "Internet") and p.no_promotion_key == 1
+    assert p.price_steps == (0.03, 0.05, 0.08, 0.10) and p.elasticities == (0.0, -1.0, -2.0, -3.0)
+    assert p.variable_shares == (1.0, 0.95, 0.90, 0.80) and p.sensitivity == (0.05, -3.0, 0.8)
+    assert p.discount_caps == (Decimal("0.10"), Decimal("0.05")) and p.gate_tolerance == 0.005
+    assert (p.class_a_share, p.class_b_share) == (Decimal("0.80"), Decimal("0.95"))
+    assert p.depth_cuts == (Decimal("0.05"), Decimal("0.10"), Decimal("0.20"))
+
+
+def test_channel_dimension(spark):
+    rows = sorted(map(tuple, model.dim_channel(spark, Params()).collect()))
+    assert rows == [(1, "Revendeurs"), (2, "Internet")]
+
+
 def test_model_from_files(file_model):
     products = {r["product_key"]: r for r in rows_of(file_model.dim_product)}
     assert products[2]["category"] == "Bikes" and products[2]["list_price"] is None and products[2]["is_current_version"]
