@@ -27,7 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
-    return _local_dirs.setdefault(context.applicationId, tempfile.mkdtemp(prefix="marginlens-"))
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="marginlens-")
+    return _local_dirs[context.applicationId]
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
