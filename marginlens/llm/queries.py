@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginlens.llm import bpe, embed_dedup, langid, line_dedup, lm, mixture, pii, quality, simhash
+from marginlens.llm import bpe, embed_dedup, langid, line_dedup, lm, mixture, pii, quality, simhash, warc
 from marginlens.llm.common import table
 
 #: The vocabulary of the encoding query.
@@ -55,6 +55,11 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, digest.alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archived(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -74,7 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_mix_sources, op3_embedding_near_dedup, op4_quality_rules, op5_bpe_round_trip,
-        op6_personal_data, op8_language_id, op9_lm_score, op10_line_dedup,
+        op6_personal_data, op7_warc_round_trip, op8_language_id, op9_lm_score, op10_line_dedup,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
