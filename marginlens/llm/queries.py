@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from marginlens.llm import bpe, embed_dedup, langid, line_dedup, lm, mixture, pii, quality, simhash, warc
 from marginlens.llm.common import table
+from marginlens.llm.oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 #: The vocabulary of the encoding query.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -82,4 +85,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_personal_data, op7_warc_round_trip, op8_language_id, op9_lm_score, op10_line_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
