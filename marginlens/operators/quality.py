@@ -81,27 +81,22 @@ def margin_discount_identity(fact: DataFrame, params: Params) -> DataFrame:
 _TOTALS = ("rows", "net_sales", "cogs")
 
 
-def _total_columns() -> list[Column]:
-    amounts = [F.sum(n).cast("decimal(38,4)").alias(n) for n in _TOTALS[1:]]
-    return [F.count(F.lit(1)).alias(_TOTALS[0]), *amounts]
+def _total(name: str) -> Column:
+    return F.count(F.lit(1)).alias(name) if name == "rows" else F.sum(name).cast("decimal(38,4)").alias(name)
 
 
-def _totals(lines: DataFrame) -> DataFrame:
-    return lines.agg(*_total_columns())
+def _gap(fact: DataFrame, source: DataFrame, total: str) -> DataFrame:
+    """Absolute difference of one total; the union holds one row per side."""
+    signed = fact.agg(_total(total)).unionByName(source.agg(_total(total)).select((-F.col(total)).alias(total)))
+    return signed.agg(F.abs(F.sum(total)).alias(total))
 
 
-def _staging_gaps(fact: DataFrame, staged_lines: DataFrame) -> DataFrame:
-    """Absolute difference of row count and sums; the union holds one row per side."""
-    signed = _totals(fact).unionByName(_totals(staged_lines).select(*[(-F.col(n)).alias(n) for n in _TOTALS]))
-    return signed.agg(*[F.abs(F.sum(n)).alias(n) for n in _TOTALS])
+def rows_equal_staging(fact: DataFrame, raw_lines: DataFrame) -> DataFrame:
+    return _gap(fact, raw_lines, "rows").select(F.col("rows").alias("violations"))
 
 
-def rows_equal_staging(fact: DataFrame, staged_lines: DataFrame) -> DataFrame:
-    return _staging_gaps(fact, staged_lines).select(F.col("rows").alias("violations"))
-
-
-def sum_reconciles(fact: DataFrame, staged_lines: DataFrame, measure: str) -> DataFrame:
-    return _staging_gaps(fact, staged_lines).select(dbl(measure).alias("violations"))
+def sum_reconciles(fact: DataFrame, source_lines: DataFrame, measure: str) -> DataFrame:
+    return _gap(fact, source_lines, measure).select(dbl(measure).alias("violations"))
 
 
 def grain_unique(fact: DataFrame) -> DataFrame:
@@ -175,22 +170,24 @@ def _key_usage(fact: DataFrame) -> DataFrame:
     return counted.withColumn("usage_set", which).drop("gid")
 
 
-def _totals_and_rules(fact: DataFrame, staged_lines: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """One row: violations of every line rule and the absolute differences to staging, from one pass over each input."""
-    of_fact = fact.agg(*_total_columns(), *[F.count_if(broken).alias(rule) for rule, broken in rules.items()])
-    of_staging = _totals(staged_lines).select(
-        *[(-F.col(n)).alias(n) for n in _TOTALS], *[F.lit(0).cast("bigint").alias(rule) for rule in rules]
-    )
-    both = of_fact.unionByName(of_staging)
-    return both.agg(*[F.abs(F.sum(n)).alias(n) for n in _TOTALS], *[F.sum(rule).alias(rule) for rule in rules])
+def _totals_and_rules(fact: DataFrame, staged_lines: DataFrame, raw_lines: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """One row: violations of every line rule and the absolute differences to the source, from one pass over each input."""
+    of_fact = fact.agg(*map(_total, _TOTALS), *[F.count_if(broken).alias(rule) for rule, broken in rules.items()])
+    came_in = raw_lines.agg(_total("rows"), _total("net_sales"))
+    cost = staged_lines.agg(_total("cogs"))
+    sides = of_fact
+    for source in (came_in, cost):
+        sides = sides.unionByName(source.select(*[(-F.col(n)).alias(n) for n in source.columns]), allowMissingColumns=True)
+    gaps = [F.abs(F.coalesce(F.sum(n), F.lit(0))).alias(n) for n in _TOTALS]
+    return sides.agg(*gaps, *[F.sum(rule).alias(rule) for rule in rules])
 
 
 def quality_report(
-    fact: DataFrame, staged_lines: DataFrame, dims: dict[str, DataFrame], products: DataFrame, params: Params
+    fact: DataFrame, staged_lines: DataFrame, raw_lines: DataFrame, dims: dict[str, DataFrame], products: DataFrame, params: Params
 ) -> DataFrame:
     """One row per rule: ``check``, ``violations`` (double)."""
     rules = line_rules(params)
-    local = _totals_and_rules(fact, staged_lines, rules)
+    local = _totals_and_rules(fact, staged_lines, raw_lines, rules)
     usage = stage(_key_usage(fact), "key-usage")
 
     def used(index: int) -> DataFrame:

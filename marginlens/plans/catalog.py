@@ -47,9 +47,9 @@ def _line_rule(rule: str) -> Query:
 
 
 _QUALITY: dict[str, Query] = {
-    "chk_fact_rows_equal_staging": lambda m: quality.rows_equal_staging(m.fact(), m.staged_lines()),
+    "chk_fact_rows_equal_staging": lambda m: quality.rows_equal_staging(m.fact(), m.raw_lines()),
     "chk_fact_grain_unique": lambda m: quality.grain_unique(m.fact()),
-    "chk_net_sales_reconcile_staging": lambda m: quality.sum_reconciles(m.fact(), m.staged_lines(), "net_sales"),
+    "chk_net_sales_reconcile_staging": lambda m: quality.sum_reconciles(m.fact(), m.raw_lines(), "net_sales"),
     "chk_cogs_reconcile_staging": lambda m: quality.sum_reconciles(m.fact(), m.staged_lines(), "cogs"),
     "chk_orphan_products": _line_rule("chk_orphan_products"),
     "chk_orphan_sku_category": lambda m: quality.orphan_sku_category(m.fact(), m.skus("category")),
@@ -65,7 +65,7 @@ _QUALITY: dict[str, Query] = {
     "chk_positive_quantities_and_costs": _line_rule("chk_positive_quantities_and_costs"),
     "chk_sku_has_unique_category": lambda m: quality.sku_has_unique_category(m.dim_product),
     "info_period_coverage": lambda m: quality.period_coverage(m.fact()),
-    "quality_report": lambda m: quality.quality_report(m.fact(), m.staged_lines(), m.dims, m.dim_product, m.params),
+    "quality_report": lambda m: quality.quality_report(m.fact(), m.staged_lines(), m.raw_lines(), m.dims, m.dim_product, m.params),
     "fact_margin_discount_identity": lambda m: quality.margin_discount_identity(m.fact(), m.params),
     "period_month_coverage": lambda m: quality.period_month_coverage(m.sales_period),
     "months_missing_a_channel": lambda m: quality.months_missing_a_channel(m.sales_period),
@@ -149,7 +149,8 @@ _WHATIF: dict[str, Query] = {
     "price_table": lambda m: whatif.price_table(_segment(m), m.params.price_steps, m.params.elasticities),
     "price_change": lambda m: whatif.price_sensitivity(_segment(m), m.params.price_steps[-1], m.params.elasticities[1], 1.0),
     "price_sensitivity": lambda m: whatif.price_sensitivity(_segment(m), *m.params.sensitivity),
-    "break_even_elasticity": lambda m: whatif.break_even_by_step(whatif.segment(m.p1), m.params.price_steps),
+    "break_even_elasticity": lambda m: whatif.break_even_by_step(_segment(m), m.params.price_steps),
+    "break_even_elasticity_all_sales": lambda m: whatif.break_even_by_step(whatif.segment(m.p1), m.params.price_steps),
     "stop_selling": lambda m: whatif.stop_selling_by_share(_segment(m), m.params.variable_shares),
     "stop_selling_curve": lambda m: whatif.stop_selling_curve(_segment(m)),
     "break_even_variable_share": lambda m: whatif.break_even_share(_segment(m)),

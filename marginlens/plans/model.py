@@ -28,6 +28,10 @@ class SalesModel:
         """The unified order lines before the model, for reconciliation."""
         raise NotImplementedError
 
+    def raw_lines(self) -> DataFrame:
+        """What came in, with net_sales, before any join; rows and sales are reconciled with it."""
+        return self.staged_lines()
+
     # ---- shared
 
     def create_views(self, prefix: str = "") -> list[str]:
@@ -154,6 +158,9 @@ class OrderModel(SalesModel):
     def staged_lines(self) -> DataFrame:
         return self.source.sales_lines()
 
+    def raw_lines(self) -> DataFrame:
+        return self.source.raw_lines()
+
     def fact(self, between: tuple[date, date] | None = None) -> DataFrame:
         return model.fact_sales(self.source.sales_lines(between))
 

@@ -26,8 +26,8 @@ REPORTS = (
     "kpi_by_calendar_year", "price_structure_labelled", "abc_sku_summary", "abc_reseller_summary", "pareto_peak",
     "worst_skus", "loss_making_summary", "loss_by_category", "loss_top8", "disc_summary", "disc_by_promotion",
     "disc_depth_buckets", "disc_turning_lines_negative", "new_product_promos", "already_below_cost", "segment", "price_grid",
-    "price_sensitivity", "stop_selling", "break_even_variable_share", "discount_rule_no_discount_below_cost",
-    "discount_rule_cap", "internet_plus10_margin", "pricing_vs_cost", "period_labels",
+    "price_sensitivity", "break_even_elasticity", "stop_selling", "break_even_variable_share",
+    "discount_rule_no_discount_below_cost", "discount_rule_cap", "internet_plus10_margin", "pricing_vs_cost", "period_labels",
 )
 
 
@@ -84,6 +84,11 @@ class Warehouse(SalesModel):
             raise RuntimeError("reconciliation needs the source this warehouse was built from")
         return self.source.staged_lines()
 
+    def raw_lines(self) -> DataFrame:
+        if self.source is None:
+            raise RuntimeError("reconciliation needs the source this warehouse was built from")
+        return self.source.raw_lines()
+
     def staging_tables(self) -> dict[str, DataFrame]:
         if self.source is None:
             raise RuntimeError("staging tables belong to the source this warehouse was built from")

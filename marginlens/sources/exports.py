@@ -16,10 +16,14 @@ TABLES = (
 AGGREGATES = ("kpi_monthly", "pvm_bridge", "kpi_by_calendar_year")
 
 
+# Text comes back as it was: blanks kept, quotes doubled.
+_TEXT_AS_IS = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def write_csv(df: DataFrame, path: str) -> int:
     """Write ``df`` as CSV files with a header and return its row count, measured during the same pass."""
     seen = Observation("written")
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("header", True).csv(path)
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").options(**_TEXT_AS_IS).csv(path)
     return seen.get["rows"]
 
 
@@ -60,7 +64,7 @@ def read_results(spark: SparkSession, out_dir: str, result: str) -> DataFrame:
 
 def read_back_csv(spark: SparkSession, path: str) -> DataFrame:
     """An exported table with header and inferred types, for reconciliation with its source."""
-    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+    return spark.read.options(**_TEXT_AS_IS, multiLine="true", inferSchema="true").csv(path)
 
 
 def reconcile_export(exported: DataFrame, fact: DataFrame) -> DataFrame:

@@ -86,20 +86,18 @@ class OrderTables:
                 (F.col("o_orderdate") >= F.lit(str(between[0])).cast("timestamp_ntz"))
                 & (F.col("o_orderdate") < F.lit(str(after_end)).cast("timestamp_ntz"))
             )
-        buyers = self.table("customer").select(
-            "c_custkey",
-            "c_nationkey",
-            F.when(self._is_b2b(), p.b2b).otherwise(p.b2c).alias("channel"),
-        )
-        placed = orders.join(buyers, F.col("o_custkey") == F.col("c_custkey"))
+        buyers = self.table("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+        placed = orders.join(buyers, F.col("o_custkey") == F.col("c_custkey"), "left")
         items = self.table("lineitem").select(
             "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"
         )
         # Cost and sku come from one look-up: two joins on the same key would share a stage, and adaptive execution does not
         # split a hot part there because the second join relies on the partitioning of the first.
         parts = self.table("part").select("p_partkey", money("p_retailprice").alias("retail"), self._sku().alias("sku"))
-        lines = items.join(placed, F.col("l_orderkey") == F.col("o_orderkey")).join(
-            parts, F.col("l_partkey") == F.col("p_partkey")
+        # A line without its order, customer or part stays, with NULL in what it lacks; it is the quality rules that report it.
+        # Only a date range, which a line without an order cannot be in, leaves lines out.
+        lines = items.join(placed, F.col("l_orderkey") == F.col("o_orderkey"), "left" if between is None else "inner").join(
+            parts, F.col("l_partkey") == F.col("p_partkey"), "left"
         )
 
         gross, quantity = F.col("gross_amount"), F.col("quantity")
@@ -110,6 +108,7 @@ class OrderTables:
         return (
             lines.withColumns(
                 {
+                    "channel": F.when(self._is_b2b(), p.b2b).otherwise(p.b2c),
                     "order_date": F.col("o_orderdate").cast("date"),
                     "quantity": F.col("l_quantity").cast("int"),
                     "gross_amount": money("l_extendedprice"),
@@ -126,7 +125,7 @@ class OrderTables:
             )
             .select(
                 "channel",
-                F.concat(F.lit("SO"), F.col("o_orderkey").cast("string")).alias("order_number"),
+                F.concat(F.lit("SO"), F.col("l_orderkey").cast("string")).alias("order_number"),
                 F.col("l_linenumber").cast("int").alias("order_line"),
                 F.col("l_partkey").cast("bigint").alias("product_key"),
                 "sku",
@@ -146,6 +145,12 @@ class OrderTables:
             )
         )
 
+    def raw_lines(self) -> DataFrame:
+        """Net sales of every raw order line, from the lines alone: what the model must account for."""
+        gross = money("l_extendedprice")
+        discount = money(gross * F.col("l_discount").cast("decimal(5,2)"))
+        return self.table("lineitem").select((gross - discount).cast(MONEY).alias("net_sales"))
+
     def products(self) -> DataFrame:
         part = self.table("part")
         retail = money("p_retailprice")

@@ -19,19 +19,21 @@ _IN_P1 = f"order_date BETWEEN DATE '{P.p1_start}' AND DATE '{P.p1_end}'"
 BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
     "bought": ((), f"""
         SELECT CASE WHEN c_mktsegment IN ({text_list(B2B_SEGMENTS)}) THEN '{P.b2b}' ELSE '{P.b2c}' END AS channel,
-               o_orderkey, o_custkey, c_nationkey, l_linenumber, l_partkey, l_discount,
+               l_orderkey, o_custkey, c_nationkey, l_linenumber, l_partkey, l_discount,
                CAST(o_orderdate AS DATE) AS order_date, CAST(l_quantity AS INTEGER) AS quantity,
                CAST(l_extendedprice AS DECIMAL(19,4)) AS gross_amount,
                CAST(p_retailprice AS DECIMAL(19,4)) AS retail
-        FROM lineitem, orders, customer, part
-        WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND l_partkey = p_partkey"""),
+        FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey
+             LEFT JOIN part ON l_partkey = p_partkey"""),
+    "raw": ((), """
+        SELECT CAST(l_extendedprice AS DECIMAL(19,4)) AS gross, CAST(l_discount AS DECIMAL(5,2)) AS rate FROM lineitem"""),
     "priced": (("bought",), """
         SELECT *, CAST(gross_amount * CAST(l_discount AS DECIMAL(5,2)) AS DECIMAL(19,4)) AS discount_amount,
                CAST(CAST(CAST(gross_amount * 10000 AS BIGINT) // quantity AS DECIMAL(18,0)) * 0.0001 AS DECIMAL(19,4)) AS unit_price,
                CAST(retail * (CAST(100 + 5 * (year(order_date) - 1995) AS DECIMAL(5,0)) * 0.01) AS DECIMAL(19,4)) AS unit_cogs
         FROM bought"""),
     "lines": (("priced",), f"""
-        SELECT channel, 'SO' || o_orderkey AS order_number, CAST(l_linenumber AS INTEGER) AS order_line,
+        SELECT channel, 'SO' || l_orderkey AS order_number, CAST(l_linenumber AS INTEGER) AS order_line,
                CAST(l_partkey AS BIGINT) AS product_key,
                CASE WHEN channel = '{P.b2b}' THEN CAST(o_custkey AS BIGINT) END AS reseller_key,
                CASE WHEN channel = '{P.b2c}' THEN CAST(o_custkey AS BIGINT) END AS customer_key,

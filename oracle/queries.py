@@ -67,11 +67,11 @@ def _orphans(dim: str, key: str) -> str:
 
 _CHECKS = {
     "chk_fact_rows_equal_staging": (
-        "SELECT abs((SELECT count(*) FROM fact) - (SELECT count(*) FROM lines)) AS violations", ("fact",)),
+        "SELECT abs((SELECT count(*) FROM fact) - (SELECT count(*) FROM lineitem)) AS violations", ("fact",)),
     "chk_fact_grain_unique": (
         "SELECT CAST(sum(n - 1) AS BIGINT) AS violations FROM (SELECT count(*) AS n FROM fact GROUP BY sales_line_id)", ("fact",)),
     "chk_net_sales_reconcile_staging": (
-        f"SELECT {dbl('abs((SELECT sum(net_sales) FROM fact) - (SELECT sum(net_sales) FROM lines))')} AS violations", ("fact",)),
+        f"SELECT {dbl('abs((SELECT sum(net_sales) FROM fact) - (SELECT sum(gross - CAST(gross * rate AS DECIMAL(19,4))) FROM raw))')} AS violations", ("fact", "raw")),
     "chk_cogs_reconcile_staging": (
         f"SELECT {dbl('abs((SELECT sum(cogs) FROM fact) - (SELECT sum(cogs) FROM lines))')} AS violations", ("fact",)),
     "chk_orphan_products": (_violating("sku IS NULL"), ("fact",)),
@@ -393,7 +393,10 @@ for _name, (_x, _e, _v) in {
     ORACLES[_name] = _on_segment(
         f"""SELECT {_num(_x)} AS x, {_num(_e)} AS elasticity, {_num(_v)} AS variable_share,
                    {_price(_num(_x), _num(_e), _num(_v))} AS margin_delta FROM seg""")
-ORACLES["break_even_elasticity"] = compose(
+ORACLES["break_even_elasticity"] = _on_segment(
+    f"""SELECT x, CASE WHEN kept > 0 AND -revenue / kept * x >= -1 THEN -revenue / kept END AS break_even_elasticity
+        FROM (SELECT *, revenue * (x + 1.0::DOUBLE) - 1.0::DOUBLE * cogs AS kept FROM seg, (VALUES {_LISTS['x']}) AS xs(x))""")
+ORACLES["break_even_elasticity_all_sales"] = compose(
     f"""SELECT x, CASE WHEN kept > 0 AND -revenue / kept * x >= -1 THEN -revenue / kept END AS break_even_elasticity
         FROM (SELECT *, revenue * (x + 1.0::DOUBLE) - 1.0::DOUBLE * cogs AS kept
               FROM (SELECT {dbl('sum(net_sales)')} AS revenue, {dbl('sum(cogs)')} AS cogs FROM p1), (VALUES {_LISTS['x']}) AS xs(x))""",

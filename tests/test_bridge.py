@@ -20,8 +20,11 @@ def compared(spark, rows, params=PARAMS):
 def test_hand_worked_bridge(spark):
     totals = one(bridge.bridge_totals(compared(spark, PVM_ROWS)))
     expected = {
-        "margin0": 800, "margin1": 790, "volume_effect": 50, "mix_effect": -40, "price_effect": 120, "discount_effect": -40,
-        "cost_effect": -60, "new_effect": 10, "discontinued_effect": -50,
+        "margin0": 320 + 210 + 80, "margin1": 395 + 140 + 90,
+        "volume_effect": (320 + 210) * 0.2,  # 20 % more pieces at the old margins
+        "mix_effect": (50 - 48) * 8 + (70 - 72) * 3.5,  # pieces beyond those 20 %, at the old margin of a piece
+        "price_effect": 50 * (22 - 20) + 70 * (9 - 10), "discount_effect": -55 + 70 * 0.5,
+        "cost_effect": -50 * (13 - 12) - 70 * (7 - 6), "new_effect": 90, "discontinued_effect": -80,
     }
     assert {k: pytest.approx(v) for k, v in expected.items()} == totals
 
@@ -29,12 +32,12 @@ def test_hand_worked_bridge(spark):
 def test_hand_worked_lines_and_steps(spark):
     units = compared(spark, PVM_ROWS)
     lines = {r["sku"]: r for r in rows_of(bridge.pvm_lines(units))}
-    assert sum(r["volume_effect"] for r in lines.values()) == pytest.approx(50)
-    assert sum(r["mix_effect"] for r in lines.values()) == pytest.approx(-40)
-    assert lines["A"]["unit_cogs0"] == 6.0 and lines["C"]["unit_cogs0"] is None and lines["D"]["unit_cogs1"] is None
-    assert lines["C"]["new_effect"] == 10 and lines["D"]["discontinued_effect"] == -50
+    assert sum(r["volume_effect"] for r in lines.values()) == pytest.approx(106)
+    assert sum(r["mix_effect"] for r in lines.values()) == pytest.approx(9)
+    assert lines["A"]["unit_cogs0"] == 12.0 and lines["C"]["unit_cogs0"] is None and lines["D"]["unit_cogs1"] is None
+    assert lines["C"]["new_effect"] == 90 and lines["D"]["discontinued_effect"] == -80
     steps = rows_of(bridge.pvm_bridge(units, PARAMS))
-    assert [r["value"] for r in steps] == [800, 50, -40, 120, -40, -60, 10, -50, 790]
+    assert [r["value"] for r in steps] == pytest.approx([610, 106, 9, 30, -20, -120, 90, -80, 625])
     assert [r["step"] for r in steps] == list(PARAMS.bridge_steps)
 
 
@@ -136,8 +139,8 @@ def test_units_outside_the_dimension_still_count_in_growth(spark):
     units = compared(spark, PVM_ROWS)
     skus = spark.createDataFrame([("A", "Cat"), ("C", "Cat"), ("D", "Cat")], "sku string, category string")
     row = one(bridge.pvm_by_category(units, skus))
-    # growth over A and B together is 160 / 150, so A's volume effect is 400 / 15
-    assert row["volume"] == pytest.approx(round(400 * (160 / 150 - 1)))
+    # growth over A and B together is 120 / 100, applied to A's margin of 320
+    assert row["volume"] == pytest.approx(round(320 * 0.2))
 
 
 def test_audit_is_clean(small):

