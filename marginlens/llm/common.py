@@ -8,13 +8,16 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than ASCII blanks. ``bytes.split()`` splits at exactly these blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
+SHINGLE_SEED = 42
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -63,3 +66,17 @@ def crc_bucket(key: str, buckets: int) -> Column:
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of every shingle of so many words, repeats included, A-Z lowered; fewer words are one shingle, none are none."""
+    tokens = text.lower().split()  # bytes: lowers A-Z only and splits at ASCII blanks only
+    if not tokens:
+        return np.empty(0, "<u8")
+    joined = memoryview(b" ".join(tokens))
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    width = min(words, len(tokens))
+    spans = zip(starts[: len(tokens) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[s:e], SHINGLE_SEED) for s, e in spans], "<u8")

@@ -17,39 +17,28 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginlens.functions.staged import stage
-from marginlens.llm.common import Batches, batch, map_batches, text_bytes
+from marginlens.llm import resemblance
+from marginlens.llm.common import Batches, batch, map_batches, shingle_hashes, text_bytes
 from marginlens.llm.components import components
 
 BITS = 64
 MAX_BITS = 2  # the grid's step of one on either side
-SEED = 42
 SEGMENT_BITS = 4
 CROWDED = 64
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 15
 
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_BANDED = pa.schema([*_PRINTS, ("text_key", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _CELLS = pa.schema([("cell", pa.int64()), ("fp", pa.int64())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """Majority bits of the XXH64 of all word shingles, repeats included; 0 for a text without words."""
-    tokens = text.lower().split()  # bytes: lowers A-Z only and splits at ASCII blanks only
-    if not tokens:
-        return 0
-    joined = memoryview(b" ".join(tokens))
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    width = min(words, len(tokens))
-    spans = zip(starts[: len(tokens) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in spans], "<u8")
+def _majority(hashes: np.ndarray) -> int:
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), BLOCK):
         octets = hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8)
@@ -57,18 +46,40 @@ def fingerprint(text: bytes, words: int) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: bytes, words: int) -> int:
+    """Majority bits of the XXH64 of all word shingles, repeats included; 0 for a text without words."""
+    return _majority(shingle_hashes(text, words))
+
+
 def _print_batches(batches: Batches, words: int) -> Batches:
     for rows in batches:
         prints = [fingerprint(t.as_py(), words) for t in rows.column("text")]
         yield batch(_PRINTS, rows.column("doc_id"), prints)
 
 
+def _banded_batches(batches: Batches, words: int) -> Batches:
+    for rows in batches:
+        prints, bands = [], []
+        for text in rows.column("text"):
+            hashes = shingle_hashes(text.as_py(), words)
+            prints.append(_majority(hashes))
+            bands.append(resemblance.bands(hashes))
+        yield batch(_BANDED, rows.column("doc_id"), prints, rows.column("text_key"), bands)
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp): one row per document, the fingerprint as a signed BIGINT."""
     rows = docs.select(F.col("doc_id").cast("bigint"), text_bytes().alias("text"))
     return map_batches(rows, partial(_print_batches, words=words), "doc_id bigint, fp bigint")
 
 
+def banded_fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp, text_key, bands): fingerprints with what ``resemblance.links`` takes, from one pass over the texts."""
+    rows = docs.select(F.col("doc_id").cast("bigint"), text_bytes().alias("text"), F.xxhash64("text").alias("text_key"))
+    schema = "doc_id bigint, fp bigint, text_key bigint, bands array<bigint>"
+    return map_batches(rows, partial(_banded_batches, words=words), schema)
+
+
 def segment_counts(prints: np.ndarray) -> np.ndarray:
     """The bit counts of all 4-bit segments, packed into the nibbles of one integer."""
     pairs = prints - ((prints >> np.uint64(1)) & np.uint64(0x5555555555555555))
@@ -146,32 +157,36 @@ def links(prints: DataFrame) -> DataFrame:
     return met.filter(F.col("b").isNotNull()).unionByName(via_hub)
 
 
-def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, similarity: float | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per row of ``docs`` (columns doc_id, text; others are not read).
 
-    Documents whose fingerprints differ in at most two bits are linked; component_id is the smallest doc_id reachable.
+    Documents whose fingerprints differ in at most two bits are linked; component_id is the smallest doc_id reachable. With
+    a ``similarity``, so are documents whose shingle sets have that Jaccard similarity: two bits do not reach far enough.
     A null, empty or blank text has fingerprint zero and is linked like any other; repeated rows come out as often as they
     go in; a null doc_id never names a component unless the component holds no other id. No rows in, no rows out.
     """
-    marked = stage(fingerprints(docs, words), "simhash-prints")
+    marked = stage(fingerprints(docs, words) if similarity is None else banded_fingerprints(docs, words), "simhash-prints")
     prints = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = stage(components(links(prints)), "simhash-roots")
+    found = links(prints)
+    if similarity is not None:
+        found = found.unionByName(resemblance.links(docs, marked, words, similarity))
+    roots = stage(components(found), "simhash-roots")
     rooted = prints.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_print = rooted.join(named, "root").select(F.col("fp").alias("of_fp"), "component_id")
-    joined = marked.join(by_print, F.col("fp") == F.col("of_fp"))
+    joined = marked.select("doc_id", "fp").join(by_print, F.col("fp") == F.col("of_fp"))
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
+def first_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document with the smallest doc_id.
 
     Repeated rows of that document stay once. A row without doc_id cannot be named by a component and stays. Columns are
     those of ``docs``.
     """
-    named = near_duplicates(docs, words).filter(F.col("doc_id") == F.col("component_id"))
+    named = near_duplicates(docs, words, similarity).filter(F.col("doc_id") == F.col("component_id"))
     kept = named.select(F.col("doc_id").alias("_kept_id")).distinct()
     first = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
     return first.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marginlens.llm import bpe, embed_dedup, langid, line_dedup, lm, mixture, pii, quality, simhash, warc
+from marginlens.llm import bpe, embed_dedup, langid, line_dedup, lm, mixture, pii, quality, resemblance, simhash, warc
 from marginlens.llm.components import components
 from marginlens.llm.queries import VOCABULARY
 
@@ -31,6 +31,38 @@ def test_simhash_edges(docs_frame):
     assert simhash.near_duplicates(docs_frame(*ROWS).limit(0)).count() == 0
 
 
+def shingle_set(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("crowded", [16, 2])
+def test_similar_texts_are_linked_and_others_are_not(docs_frame, monkeypatch, crowded):
+    monkeypatch.setattr(resemblance, "CROWDED", crowded)
+    rng = np.random.default_rng(3)
+    texts = {}
+    for group in range(4):
+        base = [f"g{group}w{i}" for i in range(200)]
+        texts[100 * group] = " ".join(base)
+        for copy in range(1, 13):
+            words = list(base)
+            for at in rng.choice(200, (1, 3, 12)[copy % 3], replace=False):  # 12 words of 200 leave a similarity of about 0.6
+                words[at] = f"c{group}x{copy}y{at}"
+            texts[100 * group + copy] = " ".join(words)
+    odd = [(900, None), (901, ""), (902, "g0w1 g0w2"), (903, "G0W1  g0w2"), (0, texts[0])]
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs_frame(*texts.items(), *odd), 5, 0.8).collect()}
+    root = {d: d for d in texts}
+    sets = {d: shingle_set(t) for d, t in texts.items()}
+    for _ in range(4):
+        for a in texts:
+            for b in texts:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    assert {d: found[d] for d in texts} == root and 4 < len(set(root.values())) < len(texts)
+    assert (found[900], found[901], found[902], found[903]) == (900, 900, 902, 902)
+    assert simhash.near_duplicates(docs_frame((1, "a")).limit(0), 5, 0.8).count() == 0
+
+
 def test_crowded_cells_link_like_pairs(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CROWDED", 3)
     rng = np.random.default_rng(1)
@@ -189,7 +221,7 @@ def test_pipeline_stages_do_their_work(spark):
     assert cleaned.columns == docs.columns and cleaned.filter("n_chars <> length(text)").count() == 0
     single = steps["SimHash near-dedup"](spark, cleaned, "")
     assert single.columns == docs.columns and single.count() == single.select("doc_id").distinct().count()
-    assert single.count() == simhash.near_duplicates(cleaned, 5).select("component_id").distinct().count()
+    assert single.count() == simhash.near_duplicates(cleaned, 5, 0.8).select("component_id").distinct().count()
     mixed = steps["source mixing"](spark, single, "")
     assert mixed.columns == docs.columns and mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
     result = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
