@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from marginlens.functions.staged import stage
 from marginlens.llm.common import Batches, batch, map_batches, shingle_hashes, text_bytes
+from marginlens.llm.components import components
 
 BANDS, ROWS = 20, 5
 CROWDED = 16
@@ -93,8 +94,16 @@ def _led(crowded: DataFrame, leaders: int) -> DataFrame:
     return crowded.select("cell", "text_key").join(stage(first.select("cell", "lead"), "resemblance-leads"), "cell")
 
 
+def _unconnected(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose ends the links ``found`` do not connect yet: of a large group of copies, hardly any."""
+    roots = stage(components(found), "resemblance-roots")
+    ends = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("a_root")), "a", "left")
+    ends = ends.join(roots.select(F.col("node").alias("b"), F.col("root").alias("b_root")), "b", "left")
+    return ends.filter("a_root IS NULL OR b_root IS NULL OR a_root != b_root").select("a", "b")
+
+
 def links(docs: DataFrame, marked: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b): fingerprints of texts at least as similar as asked for.
+    """(a, b): links between fingerprints of texts at least as similar as asked for, enough to connect all that were found.
 
     ``marked`` has text_key (xxhash64 of the text), fp and bands of every row of ``docs``. A null or blank text has no
     shingles and no links; a text of fewer words than a shingle is one shingle. Texts of one fingerprint are one, as the
@@ -110,8 +119,8 @@ def links(docs: DataFrame, marked: DataFrame, words: int, similarity: float) ->
     made = map_batches(chosen.dropDuplicates(["text_key"]), partial(_set_batches, words=words), "text_key bigint, shingles binary")
     sets = stage(made, "resemblance-sets")
 
-    found, leaders = _similar(_paired(cells), sets, similarity), 1
-    crowded = cells.filter(F.col("n") > CROWDED)
+    pairs, leaders, crowded = _paired(cells), 1, cells.filter(F.col("n") > CROWDED)
+    found = None
     while not crowded.isEmpty():
         led = stage(_led(crowded, leaders), "resemblance-led")
         ordered = led.filter("text_key != lead").select(F.least("text_key", "lead").alias("a"), F.greatest("text_key", "lead").alias("b"))
@@ -120,8 +129,13 @@ def links(docs: DataFrame, marked: DataFrame, words: int, similarity: float) ->
         followers = led.join(either, (F.col("text_key") == F.col("a")) & (F.col("lead") == F.col("b"))).select("cell", "text_key")
         settled = followers.unionByName(led.filter("text_key = lead").select("cell", "text_key")).distinct()
         rest = _shared(crowded.join(settled, ["cell", "text_key"], "left_anti"))
-        found = found.unionByName(alike).unionByName(_similar(_paired(rest), sets, similarity))
+        found = alike if found is None else found.unionByName(alike)
+        pairs = pairs.unionByName(_paired(rest))
         crowded, leaders = rest.filter(F.col("n") > CROWDED), 2 * leaders
+    if found is None:
+        found = _similar(pairs, sets, similarity)
+    else:
+        found = found.unionByName(_similar(_unconnected(pairs.distinct(), found), sets, similarity))
     fp_of = stage(marked.groupBy("text_key").agg(F.min("fp").alias("fp")), "resemblance-fp")
     named = found.join(fp_of.select(F.col("text_key").alias("a"), F.col("fp").alias("a_fp")), "a")
     named = named.join(fp_of.select(F.col("text_key").alias("b"), F.col("fp").alias("b_fp")), "b")
