@@ -1,8 +1,10 @@
 """Links between texts whose sets of word shingles have a Jaccard similarity of a given size or more.
 
 A text's shingle hashes give ``BANDS * ROWS`` minima under different orders; ``ROWS`` minima make one band, and texts meet
-where a band is equal. A pair at similarity 0.8 shares one of the 20 bands with a probability of 0.9996. Every pair that
-meets is verified on its whole shingle sets.
+where a band is equal. A pair at similarity 0.8 shares one of the 20 bands with a probability of 0.9996. Of every pair that
+meets, one byte of each minimum is compared first: as many agree as the similarity says, within a few per cent, and a pair
+five standard deviations below goes. (That loses a pair at 0.8 with a probability below 0.00001.) Every pair that is left is
+verified on its whole shingle sets, which are much wider.
 
 Equal texts are one text here. A band shared by up to ``CROWDED`` texts pairs them all. In a band shared by more, every text
 meets a leader, the text that shares the most crowded bands: of copies of one text, that is the text itself or one close to
@@ -13,6 +15,7 @@ connected with the other.
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 import numpy as np
@@ -26,52 +29,73 @@ from marginlens.llm.common import Batches, batch, map_batches, shingle_hashes, t
 from marginlens.llm.components import components
 
 BANDS, ROWS = 20, 5
-CROWDED = 16
+CROWDED = 32
 #: Shingles taken through all orders at a time.
 BLOCK = 1 << 12
 
 _ORDERS = np.random.default_rng(7).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64)
-_SETS = pa.schema([("text_key", pa.int64()), ("shingles", pa.binary())])
+_SETS = pa.schema([("text_key", pa.int64()), ("sketch", pa.binary()), ("shingles", pa.binary())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """One signed key per band; none for a text without words."""
-    if not len(hashes):
-        return []
+def _minima(hashes: np.ndarray) -> np.ndarray:
     flips, factors = _ORDERS[0], _ORDERS[1] | np.uint64(1)
     least = np.full(BANDS * ROWS, ~np.uint64(0))
     for at in range(0, len(hashes), BLOCK):
         least = np.minimum(least, ((hashes[at : at + BLOCK] ^ flips) * factors).min(axis=1))
-    rows = least.reshape(BANDS, ROWS)
+    return least
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """One signed key per band; none for a text without words."""
+    if not len(hashes):
+        return []
+    rows = _minima(hashes).reshape(BANDS, ROWS)
     keys = np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)], np.uint64)
     return keys.view(np.int64).tolist()
 
 
 def _set_batches(batches: Batches, words: int) -> Batches:
     for rows in batches:
-        sets = [np.unique(shingle_hashes(text.as_py(), words)).tobytes() for text in rows.column("text")]
-        yield batch(_SETS, rows.column("text_key"), sets)
+        hashes = [np.unique(shingle_hashes(text.as_py(), words)) for text in rows.column("text")]
+        sketches = [_minima(h).astype(np.uint8).tobytes() for h in hashes]
+        yield batch(_SETS, rows.column("text_key"), sketches, [h.tobytes() for h in hashes])
+
+
+def _likely_batches(batches: Batches, similarity: float) -> Batches:
+    most = BANDS * ROWS
+    least = most * similarity - 5 * math.sqrt(most * similarity * (1 - similarity))
+    for rows in batches:
+        one, other = (
+            np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint8).reshape(-1, most) for c in ("a_sketch", "b_sketch")
+        )
+        alike = (one == other).sum(axis=1) >= least
+        yield batch(_PAIRS, rows.column("a"), rows.column("b")).filter(pa.array(alike))
 
 
 def _similar_batches(batches: Batches, similarity: float) -> Batches:
     for rows in batches:
         alike = []
-        for a, b in zip(rows.column("a_set"), rows.column("b_set"), strict=True):
+        for a, b in zip(rows.column("a_shingles"), rows.column("b_shingles"), strict=True):
             one, other = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
             common = len(np.intersect1d(one, other, assume_unique=True))
             alike.append(common >= similarity * (len(one) + len(other) - common))
         yield batch(_PAIRS, rows.column("a"), rows.column("b")).filter(pa.array(alike, pa.bool_()))
 
 
+def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    first = sets.select(F.col("text_key").alias("a"), F.col(column).alias(f"a_{column}"))
+    second = sets.select(F.col("text_key").alias("b"), F.col(column).alias(f"b_{column}"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", f"a_{column}", f"b_{column}")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of ``pairs`` that are as similar as asked for."""
     pairs = stage(pairs, "resemblance-pairs")  # a text with very many partners is split when joined from a table
-    first = sets.select(F.col("text_key").alias("a"), F.col("shingles").alias("a_set"))
-    second = sets.select(F.col("text_key").alias("b"), F.col("shingles").alias("b_set"))
-    both = pairs.join(first, "a").join(second, "b").select("a", "b", "a_set", "b_set")
-    found = map_batches(both, partial(_similar_batches, similarity=similarity), "a bigint, b bigint")
-    return stage(found, "resemblance-links")
+    schema = "a bigint, b bigint"
+    likely = map_batches(_with_both(pairs, sets, "sketch"), partial(_likely_batches, similarity=similarity), schema)
+    whole = _with_both(stage(likely, "resemblance-likely"), sets, "shingles")
+    return stage(map_batches(whole, partial(_similar_batches, similarity=similarity), schema), "resemblance-links")
 
 
 def _shared(cells: DataFrame) -> DataFrame:
@@ -116,8 +140,8 @@ def links(docs: DataFrame, marked: DataFrame, words: int, similarity: float) ->
     cells = _shared(stage(single, "resemblance-bands"))
     texts = docs.select(F.xxhash64("text").alias("text_key"), text_bytes().alias("text"))
     chosen = texts.join(cells.select("text_key").distinct(), "text_key", "left_semi")
-    made = map_batches(chosen.dropDuplicates(["text_key"]), partial(_set_batches, words=words), "text_key bigint, shingles binary")
-    sets = stage(made, "resemblance-sets")
+    schema = "text_key bigint, sketch binary, shingles binary"
+    sets = stage(map_batches(chosen.dropDuplicates(["text_key"]), partial(_set_batches, words=words), schema), "resemblance-sets")
 
     pairs, leaders, crowded = _paired(cells), 1, cells.filter(F.col("n") > CROWDED)
     found = None
