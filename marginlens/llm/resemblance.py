@@ -8,7 +8,7 @@ verified on its whole shingle sets, which are much wider.
 
 Equal texts are one text here. A band shared by up to ``CROWDED`` texts pairs them all. In a band shared by more, every text
 meets a leader, the text that shares the most crowded bands: of copies of one text, that is the text itself or one close to
-it. Texts that do not resemble the leader go on among themselves, with twice the leaders in every round, until the rest is
+it. Texts that do not resemble the leader go on among themselves, with four times the leaders in every round, until the rest is
 small enough to pair. A pair is missed if it meets in crowded bands only and one of the two finds a leader there that is not
 connected with the other.
 """
@@ -155,7 +155,7 @@ def links(docs: DataFrame, marked: DataFrame, words: int, similarity: float) ->
         rest = _shared(crowded.join(settled, ["cell", "text_key"], "left_anti"))
         found = alike if found is None else found.unionByName(alike)
         pairs = pairs.unionByName(_paired(rest))
-        crowded, leaders = rest.filter(F.col("n") > CROWDED), 2 * leaders
+        crowded, leaders = rest.filter(F.col("n") > CROWDED), 4 * leaders
     if found is None:
         found = _similar(pairs, sets, similarity)
     else:
