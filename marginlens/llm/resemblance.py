@@ -7,15 +7,16 @@ five standard deviations below goes. (That loses a pair at 0.8 with a probabilit
 verified on its whole shingle sets, which are much wider.
 
 Equal texts are one text here. A band shared by up to ``CROWDED`` texts pairs them all. In a band shared by more, every text
-meets a leader, the text that shares the most crowded bands: of copies of one text, that is the text itself or one close to
-it. Texts that do not resemble the leader go on among themselves, with four times the leaders in every round, until the rest is
-small enough to pair. A pair is missed if it meets in crowded bands only and one of the two finds a leader there that is not
-connected with the other.
+meets a leader first, the text that shares the most crowded bands: of copies of one text, that is the text itself or one close
+to it. Texts that do not resemble the leader meet some more. This only connects most of what is alike at little cost. Then all
+texts of a band that are not connected with each other yet are compared, in blocks of two chunks of the band, whether they
+have found a leader or not; so no pair that meets anywhere is left out, unless other links connect it.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import partial
 
 import numpy as np
@@ -30,6 +31,8 @@ from marginlens.llm.components import components
 
 BANDS, ROWS = 20, 5
 CROWDED = 32
+#: Leaders that a text of a crowded band meets before the rest is compared, in rounds; texts of a band that make a chunk.
+LEADERS, CHUNK = (1, 4), 2048
 #: Shingles taken through all orders at a time.
 BLOCK = 1 << 12
 
@@ -62,17 +65,42 @@ def _set_batches(batches: Batches, words: int) -> Batches:
         yield batch(_SETS, rows.column("text_key"), sketches, [h.tobytes() for h in hashes])
 
 
-def _likely_batches(batches: Batches, similarity: float) -> Batches:
+def _least(similarity: float) -> float:
+    """Minima of a sketch that agree at least, in a pair worth a whole comparison."""
     most = BANDS * ROWS
-    least = most * similarity - 5 * math.sqrt(most * similarity * (1 - similarity))
+    return most * similarity - 5 * math.sqrt(most * similarity * (1 - similarity))
+
+
+def _sketches(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+
+
+def _likely_batches(batches: Batches, similarity: float) -> Batches:
     for rows in batches:
-        one, other = (
-            np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint8).reshape(-1, most) for c in ("a_sketch", "b_sketch")
-        )
-        alike = (one == other).sum(axis=1) >= least
+        alike = (_sketches(rows.column("a_sketch")) == _sketches(rows.column("b_sketch"))).sum(axis=1) >= _least(similarity)
         yield batch(_PAIRS, rows.column("a"), rows.column("b")).filter(pa.array(alike))
 
 
+def _block_likely(least: float) -> Callable[[pa.Table], pa.Table]:
+    """The likely pairs of two chunks (or of one with itself) whose texts have different roots."""
+
+    def compare(block: pa.Table) -> pa.Table:
+        keys, roots, chunk = (block.column(c).to_numpy() for c in ("text_key", "root", "chunk"))
+        sketches = _sketches(block.column("sketch"))
+        one, other = np.flatnonzero(chunk == chunk.min()), np.flatnonzero(chunk == chunk.max())
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for place, at in enumerate(one):
+            rest = other[place + 1 :] if chunk.min() == chunk.max() else other
+            rest = rest[roots[rest] != roots[at]]
+            if len(rest):
+                near = keys[rest[(sketches[rest] == sketches[at]).sum(axis=1) >= least]]
+                a.append(np.minimum(near, keys[at]))
+                b.append(np.maximum(near, keys[at]))
+        return pa.table([np.concatenate(a), np.concatenate(b)], schema=_PAIRS)
+
+    return compare
+
+
 def _similar_batches(batches: Batches, similarity: float) -> Batches:
     for rows in batches:
         alike = []
@@ -89,13 +117,17 @@ def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", f"a_{column}", f"b_{column}")
 
 
+def _verified(likely: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ``likely``, a table, whose whole shingle sets are as similar as asked for."""
+    verify = partial(_similar_batches, similarity=similarity)
+    return stage(map_batches(_with_both(likely, sets, "shingles"), verify, "a bigint, b bigint"), "resemblance-links")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of ``pairs`` that are as similar as asked for."""
     pairs = stage(pairs, "resemblance-pairs")  # a text with very many partners is split when joined from a table
-    schema = "a bigint, b bigint"
-    likely = map_batches(_with_both(pairs, sets, "sketch"), partial(_likely_batches, similarity=similarity), schema)
-    whole = _with_both(stage(likely, "resemblance-likely"), sets, "shingles")
-    return stage(map_batches(whole, partial(_similar_batches, similarity=similarity), schema), "resemblance-links")
+    likely = map_batches(_with_both(pairs, sets, "sketch"), partial(_likely_batches, similarity=similarity), "a bigint, b bigint")
+    return _verified(stage(likely, "resemblance-likely"), sets, similarity)
 
 
 def _shared(cells: DataFrame) -> DataFrame:
@@ -119,11 +151,61 @@ def _led(crowded: DataFrame, leaders: int) -> DataFrame:
 
 
 def _unconnected(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs whose ends the links ``found`` do not connect yet: of a large group of copies, hardly any."""
+    """(a, b, a_root, b_root): the pairs that the links ``found`` do not connect yet; of a large group of copies, hardly any."""
     roots = stage(components(found), "resemblance-roots")
     ends = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("a_root")), "a", "left")
     ends = ends.join(roots.select(F.col("node").alias("b"), F.col("root").alias("b_root")), "b", "left")
-    return ends.filter("a_root IS NULL OR b_root IS NULL OR a_root != b_root").select("a", "b")
+    ends = ends.select("a", "b", F.coalesce("a_root", "a").alias("a_root"), F.coalesce("b_root", "b").alias("b_root"))
+    return ends.filter("a_root != b_root")
+
+
+def _blocks(crowded: DataFrame, sets: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the likely pairs of every crowded cell that ``found`` does not connect; cells all connected cost nothing."""
+    roots = stage(components(found), "resemblance-roots")
+    rooted = crowded.join(roots, F.col("text_key") == F.col("node"), "left")
+    rooted = stage(rooted.select("cell", "text_key", "n", F.coalesce("root", "text_key").alias("root")), "resemblance-rooted")
+    mixed = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    dealt = rooted.join(mixed.select("cell"), "cell", "left_semi").withColumns({
+        "chunk": F.pmod(F.xxhash64("text_key"), chunks).cast("int"), "other": F.explode(F.sequence(F.lit(0), chunks - 1))})
+    dealt = dealt.select("cell", "text_key", "root", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
+    block = dealt.join(sets.select("text_key", "sketch"), "text_key").groupBy("cell", "low", "high")
+    likely = block.applyInArrow(_block_likely(_least(similarity)), "a bigint, b bigint")
+    return stage(stage(likely, "resemblance-blocks").distinct(), "resemblance-likely")
+
+
+def _connected(likely: DataFrame, sets: DataFrame, similarity: float, found: DataFrame) -> DataFrame:
+    """``found`` with links that connect whatever the similar pairs of ``likely`` connect.
+
+    Of two components, one pair is verified first, then up to 16, 256 and so on, until all are verified or connected.
+    """
+    share = 1
+    while True:
+        left = stage(_unconnected(likely, found), "resemblance-left")
+        if left.isEmpty():
+            return found
+        part = F.pmod(F.xxhash64("a", "b"), F.lit(share))
+        picked = left.groupBy(F.least("a_root", "b_root"), F.greatest("a_root", "b_root"), part).agg(F.min(F.struct("a", "b")).alias("pair"))
+        picked = stage(picked.select("pair.a", "pair.b"), "resemblance-picked")
+        found = found.unionByName(_verified(picked, sets, similarity))
+        likely, share = left.select("a", "b").join(picked, ["a", "b"], "left_anti"), 16 * share
+
+
+def _started(crowded: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links of crowded cells' texts with leaders, then those among ``pairs`` that connect more."""
+    found, rest = None, crowded
+    for leaders in LEADERS:
+        led = stage(_led(rest, leaders), "resemblance-led")
+        ordered = led.filter("text_key != lead").select(F.least("text_key", "lead").alias("a"), F.greatest("text_key", "lead").alias("b"))
+        alike = _similar(ordered.distinct(), sets, similarity)
+        found = alike if found is None else found.unionByName(alike)
+        either = alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        followers = led.join(either, (F.col("text_key") == F.col("a")) & (F.col("lead") == F.col("b"))).select("cell", "text_key")
+        settled = followers.unionByName(led.filter("text_key = lead").select("cell", "text_key")).distinct()
+        rest = _shared(rest.join(settled, ["cell", "text_key"], "left_anti")).filter(F.col("n") > CROWDED)
+        if rest.isEmpty():
+            break
+    return found.unionByName(_similar(_unconnected(pairs, found).select("a", "b"), sets, similarity))
 
 
 def links(docs: DataFrame, marked: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -143,23 +225,12 @@ def links(docs: DataFrame, marked: DataFrame, words: int, similarity: float) ->
     schema = "text_key bigint, sketch binary, shingles binary"
     sets = stage(map_batches(chosen.dropDuplicates(["text_key"]), partial(_set_batches, words=words), schema), "resemblance-sets")
 
-    pairs, leaders, crowded = _paired(cells), 1, cells.filter(F.col("n") > CROWDED)
-    found = None
-    while not crowded.isEmpty():
-        led = stage(_led(crowded, leaders), "resemblance-led")
-        ordered = led.filter("text_key != lead").select(F.least("text_key", "lead").alias("a"), F.greatest("text_key", "lead").alias("b"))
-        alike = _similar(ordered.distinct(), sets, similarity)
-        either = alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        followers = led.join(either, (F.col("text_key") == F.col("a")) & (F.col("lead") == F.col("b"))).select("cell", "text_key")
-        settled = followers.unionByName(led.filter("text_key = lead").select("cell", "text_key")).distinct()
-        rest = _shared(crowded.join(settled, ["cell", "text_key"], "left_anti"))
-        found = alike if found is None else found.unionByName(alike)
-        pairs = pairs.unionByName(_paired(rest))
-        crowded, leaders = rest.filter(F.col("n") > CROWDED), 4 * leaders
-    if found is None:
+    pairs, crowded = _paired(cells), cells.filter(F.col("n") > CROWDED)
+    if crowded.isEmpty():
         found = _similar(pairs, sets, similarity)
     else:
-        found = found.unionByName(_similar(_unconnected(pairs.distinct(), found), sets, similarity))
+        started = _started(crowded, pairs, sets, similarity)
+        found = _connected(_blocks(crowded, sets, started, similarity), sets, similarity, started)
     fp_of = stage(marked.groupBy("text_key").agg(F.min("fp").alias("fp")), "resemblance-fp")
     named = found.join(fp_of.select(F.col("text_key").alias("a"), F.col("fp").alias("a_fp")), "a")
     named = named.join(fp_of.select(F.col("text_key").alias("b"), F.col("fp").alias("b_fp")), "b")

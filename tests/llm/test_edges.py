@@ -63,6 +63,33 @@ def test_similar_texts_are_linked_and_others_are_not(docs_frame, monkeypatch, cr
     assert simhash.near_duplicates(docs_frame((1, "a")).limit(0), 5, 0.8).count() == 0
 
 
+def near_copies(count, edits, seed):
+    """Copies of one text of 200 words, each with up to ``edits`` words changed, in no order."""
+    rng = np.random.default_rng(seed)
+    for copy in range(count):
+        words = [f"e{edits}w{i}" for i in range(200)]
+        for at in rng.choice(200, rng.integers(1, edits + 1), replace=False):
+            words[at] = f"e{edits}c{copy}y{at}"
+        yield " ".join(words)
+
+
+def test_crowded_bands_connect_all_that_pairs_connect(docs_frame, monkeypatch):
+    monkeypatch.setattr(resemblance, "CHUNK", 90, raising=False)
+    texts = {1000 * edits + i: t for edits in (4, 8, 12) for i, t in enumerate(near_copies(400, edits, 11))}
+    sets, prints = {d: shingle_set(t) for d, t in texts.items()}, {d: simhash.fingerprint(t.encode(), 5) for d, t in texts.items()}
+    alike = [(a, b) for a in texts for b in range(a // 1000 * 1000, a)
+             if len(common := sets[a] & sets[b]) >= 0.8 * (len(sets[a]) + len(sets[b]) - len(common))
+             or ((prints[a] ^ prints[b]) % 2**64).bit_count() <= simhash.MAX_BITS]
+    root, before = {d: d for d in texts}, None
+    while root != before:
+        before = dict(root)
+        for a, b in alike:
+            root[a] = root[b] = min(root[a], root[b])
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs_frame(*texts.items()), 5, 0.8).collect()}
+    parts = {e: (len({c for d, c in found.items() if d // 1000 == e}), len({c for d, c in root.items() if d // 1000 == e})) for e in (4, 8, 12)}
+    assert found == root, f"components by edits, found and expected: {parts}"
+
+
 def test_crowded_cells_link_like_pairs(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CROWDED", 3)
     rng = np.random.default_rng(1)
