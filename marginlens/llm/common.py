@@ -13,6 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word: a run of characters other than ASCII blanks. ``bytes.split()`` splits at exactly these blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,7 +49,7 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def map_batches(df: DataFrame, function: Callable[[Batches], Batches], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, function: Callable[[Batches], Batches], schema: str | StructType) -> DataFrame:
     """``mapInArrow``: batches hold at most spark.sql.execution.arrow.maxBytesPerBatch bytes, so memory is bounded."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)

@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginlens.functions.staged import stage
 from marginlens.llm.common import Batches, batch, crc_bucket, map_batches
 
 ORDERS = 3
@@ -141,14 +140,15 @@ def identify(docs: DataFrame, model: Profiles) -> DataFrame:
     return map_batches(rows, partial(_classify_batches, model=model), schema)
 
 
+def _accepted_batches(batches: Batches, model: Profiles) -> Batches:
+    for rows in batches:
+        found = (model.classify(t.as_py()) for t in rows.column("text"))
+        yield rows.filter(pa.array([lang != UNDETERMINED and score >= MIN_SCORE for lang, score in found], pa.bool_()))
+
+
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is told: not ``und``, with a score of at least MIN_SCORE. Columns stay.
 
-    Rows of one doc_id stay together if any of them is accepted; a row without doc_id is judged by its own text.
+    Every row is judged by its own text, with or without doc_id and whatever other rows of its doc_id hold.
     """
-    model = fit(docs)
-    told = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_SCORE)
-    named = identify(docs, model).filter(told & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_told")).distinct()
-    kept = docs.join(stage(named, "language-told"), F.col("doc_id") == F.col("_told"), "left_semi")
-    unnamed = docs.filter(F.col("doc_id").isNull())
-    return kept.unionByName(unnamed.filter(F.col("text").rlike(r"\p{L}")))
+    return map_batches(docs, partial(_accepted_batches, model=fit(docs)), docs.schema)

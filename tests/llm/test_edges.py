@@ -168,6 +168,15 @@ def test_language_edges(docs_frame):
     assert langid.identify(docs_frame((1, "words")), langid.fit(nothing)).first().lang_pred == "und"
 
 
+def test_every_row_is_accepted_by_its_own_text(docs_frame):
+    known = [(i, "the cat and the hat", "en") for i in range(10, 20)]
+    odd = [(None, "the cat and the hat"), (None, "\u4f60\u597d \u4e16\u754c"), (None, None), (10, "\u4f60\u597d \u4e16\u754c"), (10, "")]
+    docs = docs_frame(*known, *odd)
+    kept = langid.accepted(docs)
+    assert rows(kept, "doc_id", "text") == Counter([*[(i, t) for i, t, _ in known], (None, "the cat and the hat")])
+    assert kept.schema == docs.schema and langid.accepted(docs.limit(0)).count() == 0
+
+
 def test_encoding_edges(docs_frame):
     found = {r.doc_id: r for r in bpe.round_trip(docs_frame(*ROWS, (9, "<|endoftext|>x"), (10, "\x1c é")), VOCABULARY).collect()}
     assert found[2].ids == found[3].ids == [] and found[2].decoded == ""
