@@ -166,6 +166,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, similarity: float | None =
     go in; a null doc_id never names a component unless the component holds no other id. No rows in, no rows out.
     """
     marked = stage(fingerprints(docs, words) if similarity is None else banded_fingerprints(docs, words), "simhash-prints")
+    by_print = _by_print(docs, marked, words, similarity)
+    joined = marked.select("doc_id", "fp").join(by_print, F.col("fp") == F.col("of_fp"))
+    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _by_print(docs: DataFrame, marked: DataFrame, words: int, similarity: float | None) -> DataFrame:
+    """(of_fp, root, component_id): the component of every fingerprint; roots also tell components of one name apart."""
     prints = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     found = links(prints)
     if similarity is not None:
@@ -175,18 +182,22 @@ def near_duplicates(docs: DataFrame, words: int = 3, similarity: float | None =
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_print = rooted.join(named, "root").select(F.col("fp").alias("of_fp"), "component_id")
-    joined = marked.select("doc_id", "fp").join(by_print, F.col("fp") == F.col("of_fp"))
-    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rooted.join(named, "root").select(F.col("fp").alias("of_fp"), "root", "component_id")
 
 
 def first_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest doc_id.
+    """The rows of ``docs`` that stay: of each component the document with the smallest doc_id, and one without doc_id.
 
-    Repeated rows of that document stay once. A row without doc_id cannot be named by a component and stays. Columns are
-    those of ``docs``.
+    Unlike texts of one doc_id are documents of their own. Among rows of one component and doc_id, the smallest hash of the
+    text decides, and repeated rows stay once. Columns are those of ``docs``.
     """
-    named = near_duplicates(docs, words, similarity).filter(F.col("doc_id") == F.col("component_id"))
-    kept = named.select(F.col("doc_id").alias("_kept_id")).distinct()
-    first = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.filter(F.col("doc_id").isNull()))
+    marked = stage(banded_fingerprints(docs, words), "simhash-prints")
+    by_print = _by_print(docs, marked, words, similarity)
+    joined = marked.select("doc_id", "fp", "text_key").join(by_print, F.col("fp") == F.col("of_fp"))
+    first = joined.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).groupBy("root", "doc_id").agg(
+        F.min("text_key").alias("_kept_key")
+    )
+    kept = first.select(F.col("doc_id").alias("_kept_id"), "_kept_key")
+    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_kept_id")) & (F.col("_text_key") == F.col("_kept_key"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")

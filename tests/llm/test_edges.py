@@ -31,6 +31,14 @@ def test_simhash_edges(docs_frame):
     assert simhash.near_duplicates(docs_frame(*ROWS).limit(0)).count() == 0
 
 
+def test_unlike_texts_of_one_id_and_copies_without_id(docs_frame):
+    one, other, third = ("\n".join(f"{tag}{i} " for i in range(60)) for tag in "xyz")
+    docs = docs_frame((7, one), (7, other), (7, one), (8, one), (None, third), (None, third), (None, "a b c"), (None, one), (None, "A B C"))
+    kept = simhash.first_of_each(docs)
+    ids = Counter((r.doc_id, r.text.lower()) for r in kept.collect())
+    assert ids == Counter([(7, one), (7, other), (None, third), (None, "a b c"), (None, one)]) and kept.columns == docs.columns
+
+
 def shingle_set(text):
     words = text.lower().split()
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
