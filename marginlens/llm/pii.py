@@ -64,6 +64,20 @@ def _emails(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def _accounts(text: str) -> list[tuple[int, int]]:
+    """Account numbers, each with the longest end at a group border that its checksum confirms: words may follow one."""
+    found, at = [], 0
+    while m := _IBAN.search(text, at):
+        at = m.end()
+        for end in [m.end(), *(i for i in range(m.end() - 1, m.start(), -1) if text[i] == " ")]:
+            account = text[m.start() : end].replace(" ", "")
+            if 15 <= len(account) <= 34 and mod97(account):
+                found.append((m.start(), end))
+                at = end
+                break
+    return found
+
+
 def _octet(part: str) -> bool:
     digits = part.lstrip("0")
     return len(digits) < 3 or len(digits) == 3 and digits <= "255"
@@ -87,10 +101,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
             found.append(("card", *m.span()))
     if "+" in text:
         found += [("phone", *m.span()) for m in _PHONE.finditer(text) if 10 <= len(_digits(m[0])) <= 15]
-    for m in _IBAN.finditer(text):
-        account = m[0].replace(" ", "")
-        if len(account) <= 34 and mod97(account):
-            found.append(("iban", *m.span()))
+    found += [("iban", *s) for s in _accounts(text)]
     found += [("ssn", *m.span()) for m in _SSN.finditer(text) if _score("ssn", text, *m.span()) >= NEEDED]
     if "=" in text or ":" in text:
         # the name in front of the value is context of its own
