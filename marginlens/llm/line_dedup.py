@@ -108,7 +108,9 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     One row per row; other columns stay (columns named n_lines or n_removed are replaced). A null text stays null with no
     lines, an empty text has one line; a document all of whose lines repeat is left with an empty text. A run that repeats
-    within one document goes from its second place on. Lines without a word neither make nor break a run; they go with a
+    within one document goes from its second place on; the second place may overlap the first, and then lines of the first go,
+    too: of lines H A B A B ... with 50 words in any run of five, what begins at the first A stands again at the second, and
+    H A B and what is left at the end stay. Every distinct line stays once at least. Lines without a word neither make nor break a run; they go with a
     run that spans them. Rows with equal doc_id and text count as one document and are treated alike; among documents of
     one doc_id the text hash decides which is first, documents without id come last. No rows in, no rows out.
     """

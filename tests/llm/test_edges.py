@@ -166,6 +166,12 @@ def test_line_dedup_edges(docs_frame):
     assert line_dedup.without_repeats(docs).count() == 10 and line_dedup.without_repeats(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_a_passage_that_overlaps_itself(docs_frame):
+    head, a, b = (passage(tag, 10) for tag in ("h", "a", "b"))
+    found = line_dedup.without_repeats(docs_frame((1, "\n".join([head, *[a, b] * 5])))).first()
+    assert (found.n_lines, found.n_removed, found.text) == (11, 8, f"{head}\n{a}\n{b}")
+
+
 def test_language_edges(docs_frame):
     docs = docs_frame(*ROWS, *[(i, "the cat and the hat", "en") for i in range(10, 20)], *[(i, "der Hund und das Haus", "de") for i in range(20, 30)])
     found = {r.doc_id: r for r in langid.identify(docs, langid.fit(docs)).collect()}
@@ -245,6 +251,13 @@ def test_personal_data_edges(docs_frame):
     assert pii.find(docs_frame(*ROWS).limit(0)).count() == 0
 
 
+def test_accounts_end_before_words_that_follow():
+    account, second = "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"
+    assert pii.spans(f"{account} BIC DEUTDEFF") == [("iban", 0, 27)] and pii.spans(f"{account}") == [("iban", 0, 27)]
+    assert pii.spans(f"{account} {second} BIC") == [("iban", 0, 27), ("iban", 28, 55)]
+    assert pii.spans("GB83 WEST 1234 5698 7654 32 BIC DEUTDEFF") == []
+
+
 def test_archive_edges(spark):
     pages = spark.createDataFrame(
         [(5, "u a", "<a>", 1), (3, "v", "<a>", 1), (9, None, None, 1), (2, "w", "", 1), (7, "z", "<a>", 1), (7, "z", "<a>", 1),
