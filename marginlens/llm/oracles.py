@@ -84,4 +84,88 @@ SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
-ORACLE_SQL = {"op2_mix_sources": MIX, "op10_line_dedup": LINES}
+# Every document walks through every order of the filters; nothing is counted beforehand.
+AUDIT = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '{WORD}') AS ws FROM d
+), f AS (
+  SELECT doc_id, part, {{
+    'A': len(ws) < 200,
+    'B': 100 * len(list_distinct(ws)) < 50 * len(ws),
+    'C': 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t),
+    'D': regexp_matches(t, '[#$%&*|]'),
+    'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)
+  }} AS fails FROM w
+), l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), failing AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x WHEN 'A' THEN fails.A WHEN 'B' THEN fails.B WHEN 'C' THEN fails.C WHEN 'D' THEN fails.D ELSE fails.E END) AS failed
+  FROM f LEFT JOIN l ON f.doc_id = l.doc_id
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT filter_order, step::INTEGER AS step, filter_order[step] AS filter, string_split(left(filter_order, step - 1), '') AS before
+  FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders)
+), counted AS (
+  SELECT part, filter_order, step, filter,
+    count(*) FILTER (NOT list_contains(failed, filter) AND NOT list_has_any(failed, before)) AS kept,
+    count(*) FILTER (list_contains(failed, filter) AND NOT list_has_any(failed, before)) AS removed,
+    count(*) FILTER (list_contains(failed, filter) AND list_has_any(failed, before)) AS redundant,
+    count(*) FILTER (failed = [filter]) AS unique_fails,
+    count(*) FILTER (good AND list_contains(failed, filter) AND NOT list_has_any(failed, before)) AS good_lost,
+    count(*) FILTER (toxic AND list_contains(failed, filter) AND NOT list_has_any(failed, before)) AS toxic_lost
+  FROM failing, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley
+FROM counted
+"""
+
+# CRC-32 byte by byte, with the usual table of 256 remainders made from its polynomial.
+RESAMPLING = r"""
+WITH remainders AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS r
+), d AS (
+  SELECT doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS ws FROM documents
+), b AS (
+  SELECT unnest(regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+')) AS word FROM benchmark
+), dw AS (
+  SELECT doc_id, unnest(ws) AS word FROM d
+), known AS (
+  SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION SELECT word FROM b)
+), crcs AS (
+  SELECT word, xor(4294967295, list_reduce([4294967295] || list_transform(range(1, len(h) + 1, 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT),
+    lambda c, x: xor(c >> 8, r[(xor(c, x) & 255) + 1]))) % 10000 AS bucket
+  FROM known, remainders
+), buckets AS (
+  SELECT unnest(range(10000)) AS bucket
+), s AS (
+  SELECT bucket, count(*) AS s FROM dw JOIN crcs USING (word) GROUP BY bucket
+), t AS (
+  SELECT bucket, count(*) AS t FROM b JOIN crcs USING (word) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000)::DOUBLE
+                                 / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM buckets LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)
+), weights AS (
+  SELECT doc_id, sum(gain)::BIGINT AS weight FROM dw JOIN crcs USING (word) JOIN gains USING (bucket) GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5)::DOUBLE / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (doc_id)
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score::BIGINT AS score, rank
+FROM scored LEFT JOIN (SELECT doc_id, rank FROM ranked WHERE rank <= 10 * n // 100) USING (doc_id)
+"""
+
+ORACLE_SQL = {
+    "op2_mix_sources": MIX, "op10_line_dedup": LINES, "op12_filter_audit": AUDIT, "op13_importance_resampling": RESAMPLING,
+}

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginlens.llm import bpe, embed_dedup, langid, line_dedup, lm, mixture, pii, quality, simhash, warc
+from marginlens.llm import (
+    bpe, embed_dedup, filter_audit, langid, line_dedup, lm, mixture, pii, quality, resampling, simhash, toxicity, warc,
+)
 from marginlens.llm.common import table
 from marginlens.llm.oracles import ORACLE_SQL
 
@@ -78,10 +80,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.without_repeats(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return scored.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_mix_sources, op3_embedding_near_dedup, op4_quality_rules, op5_bpe_round_trip,
-        op6_personal_data, op7_warc_round_trip, op8_language_id, op9_lm_score, op10_line_dedup,
+        op6_personal_data, op7_warc_round_trip, op8_language_id, op9_lm_score, op10_line_dedup, op11_toxicity, op12_filter_audit,
+        op13_importance_resampling,
     )
 }
