@@ -32,8 +32,8 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, on five-word shingles."""
-    return simhash.first_of_each(docs, words=5)
+    """One document of each group of near duplicates: fingerprints of three-word shingles within two bits."""
+    return simhash.first_of_each(docs, words=3)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginlens.functions.staged import stage
@@ -34,6 +34,7 @@ BLOCK = 1 << 15
 
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 _BANDED = pa.schema([*_PRINTS, ("text_key", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_KEYED = pa.schema([*_PRINTS, ("text_key", pa.int64())])
 _CELLS = pa.schema([("cell", pa.int64()), ("fp", pa.int64())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -185,19 +186,41 @@ def _by_print(docs: DataFrame, marked: DataFrame, words: int, similarity: float
     return rooted.join(named, "root").select(F.col("fp").alias("of_fp"), "root", "component_id")
 
 
-def first_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def _keyed_batches(batches: Batches, words: int) -> Batches:
+    for rows in batches:
+        prints = [fingerprint(t.as_py(), words) for t in rows.column("text")]
+        yield batch(_KEYED, rows.column("doc_id"), prints, rows.column("text_key"))
+
+
+def _keyed_fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("bigint"), text_bytes().alias("text"), F.xxhash64("text").alias("text_key"))
+    return map_batches(rows, partial(_keyed_batches, words=words), "doc_id bigint, fp bigint, text_key bigint")
+
+
+def first_of_each(docs: DataFrame, words: int = 3, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document with the smallest doc_id, and one without doc_id.
 
     Unlike texts of one doc_id are documents of their own. Among rows of one component and doc_id, the smallest hash of the
     text decides, and repeated rows stay once. Columns are those of ``docs``.
+
+    Decisions are made on (doc_id, hash of the text) alone. What goes is written down, so where it is small by its measured
+    size the texts are filtered where they lie, and they are shuffled once where it is not; repeated rows are taken apart.
     """
-    marked = stage(banded_fingerprints(docs, words), "simhash-prints")
+    marked = stage(_keyed_fingerprints(docs, words) if similarity is None else banded_fingerprints(docs, words), "simhash-prints")
     by_print = _by_print(docs, marked, words, similarity)
-    joined = marked.select("doc_id", "fp", "text_key").join(by_print, F.col("fp") == F.col("of_fp"))
-    first = joined.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).groupBy("root", "doc_id").agg(
-        F.min("text_key").alias("_kept_key")
-    )
-    kept = first.select(F.col("doc_id").alias("_kept_id"), "_kept_key")
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_kept_id")) & (F.col("_text_key") == F.col("_kept_key"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    rows = marked.groupBy("doc_id", "fp", "text_key").agg(F.count("*").alias("n"))
+    joined = rows.join(by_print, F.col("fp") == F.col("of_fp"))
+    named = joined.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+    first = named.groupBy(F.col("root").alias("of_root"), F.col("doc_id").alias("of_id")).agg(F.min("text_key").alias("first_key"))
+    same = (F.col("root") == F.col("of_root")) & F.col("doc_id").eqNullSafe(F.col("of_id"))
+    stays = F.coalesce(F.col("first_key") == F.col("text_key"), F.lit(False)).alias("stays")
+    decided = joined.join(first, same, "left").select("doc_id", "text_key", "n", stays)
+    changed = stage(decided.filter(~F.col("stays") | (F.col("n") > 1)), "simhash-decisions")
+
+    def of(row: DataFrame, decision: DataFrame) -> Column:
+        return row["doc_id"].cast("bigint").eqNullSafe(decision["doc_id"]) & (F.xxhash64(row["text"]) == decision["text_key"])
+
+    once = docs.join(changed, of(docs, changed), "left_anti")
+    repeated = changed.filter("stays").select("doc_id", "text_key")
+    copies = docs.join(repeated, of(docs, repeated), "left_semi")
+    return once.unionByName(copies.dropDuplicates(["doc_id", "text"]))

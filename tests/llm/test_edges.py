@@ -278,7 +278,7 @@ def test_pipeline_stages_do_their_work(spark):
     assert cleaned.columns == docs.columns and cleaned.filter("n_chars <> length(text)").count() == 0
     single = steps["SimHash near-dedup"](spark, cleaned, "")
     assert single.columns == docs.columns and single.count() == single.select("doc_id").distinct().count()
-    assert single.count() == simhash.near_duplicates(cleaned, 5, 0.8).select("component_id").distinct().count()
+    assert single.count() == simhash.near_duplicates(cleaned).select("component_id").distinct().count()
     mixed = steps["source mixing"](spark, single, "")
     assert mixed.columns == docs.columns and mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
     result = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
