@@ -6,7 +6,7 @@ of one per order line, and a key with very many lines is already collapsed map-s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginlens.functions.exprs import dbl, pct, sum_if, sums, whole
@@ -29,36 +29,30 @@ def _resum(*names: str) -> list[Column]:
     return [F.sum(f"sum_{n}").alias(f"sum_{n}") for n in names]
 
 
-def kpi_summary(lines: DataFrame) -> DataFrame:
-    """Figures per (period, channel) and per period; ``channel`` is NULL and ``is_total`` true on a period's total.
+_ADDITIVE = (*(f"sum_{m}" for m in _MONEY), "sum_quantity", "lines", "known_lines", "below_cost_lines", "below_cost_margin")
 
-    Two grouping sets instead of a roll-up: the grand total over both periods is never computed. Additive measures collapse
-    map-side to one row per period and channel. Distinct orders need a shuffle per order, so they are counted from the three
-    columns that matter instead of dragging every measure through that shuffle.
-    """
-    known = tagged(lines)
-    period, channel = F.col("period"), F.col("channel")
+
+def _additive(lines: DataFrame, *keys: str) -> DataFrame:
     below = F.col("is_below_cost")
-    sets = [[period, channel], [period]]
-    is_total = (F.grouping("channel") == 1).alias("is_total")
-    additive = ("sum_net_sales", "sum_cogs", "sum_gross_margin", "sum_gross_amount", "sum_discount_amount", "sum_quantity",
-                "lines", "known_lines", "below_cost_lines", "below_cost_margin")
-    per_channel = known.groupBy("period", "channel").agg(
+    return tagged(lines).groupBy(*keys).agg(
         *sums(*_MONEY, "quantity"),
         F.count(F.lit(1)).alias("lines"),
         F.count("is_below_cost").alias("known_lines"),
         F.count_if(below).alias("below_cost_lines"),
         sum_if(below, "gross_margin").alias("below_cost_margin"),
     )
-    totals = per_channel.groupingSets(sets, period, channel).agg(is_total, *[F.sum(a).alias(a) for a in additive])
-    orders = known.select("period", "channel", "order_number").groupingSets(sets, period, channel).agg(
-        is_total, F.count_distinct("order_number").alias("orders")
-    )
-    matched = orders.select(
-        F.col("period").alias("o_period"), F.col("channel").alias("o_channel"), F.col("is_total").alias("o_total"), "orders"
+
+
+def _with_totals(per_channel: DataFrame, *more: str) -> DataFrame:
+    """Rows per (period, channel) and per period, from additive rows per (period, channel)."""
+    period, channel = F.col("period"), F.col("channel")
+    return per_channel.groupingSets([[period, channel], [period]], period, channel).agg(
+        (F.grouping("channel") == 1).alias("is_total"), *[F.sum(a).alias(a) for a in (*_ADDITIVE, *more)]
     )
-    same = (period == F.col("o_period")) & channel.eqNullSafe(F.col("o_channel")) & (F.col("is_total") == F.col("o_total"))
-    return totals.join(matched, same).select(
+
+
+def _figures(totals: DataFrame, *orders: Column) -> DataFrame:
+    return totals.select(
         "period",
         "channel",
         "is_total",
@@ -70,13 +64,37 @@ def kpi_summary(lines: DataFrame) -> DataFrame:
         whole("sum_discount_amount").alias("discounts"),
         pct("sum_discount_amount", "sum_gross_amount", 2).alias("discount_pct_of_gross"),
         F.col("sum_quantity").alias("units"),
-        "orders",
+        *orders,
         "lines",
         pct("below_cost_lines", "known_lines", 1).alias("pct_lines_below_cost"),
         whole("below_cost_margin").alias("loss_on_below_cost_lines"),
     ).orderBy("period", F.col("channel").asc_nulls_first(), F.col("is_total").desc())
 
 
+def kpi_summary(lines: DataFrame) -> DataFrame:
+    """Figures per (period, channel) and per period; ``channel`` is NULL and ``is_total`` true on a period's total.
+
+    One pass over the lines: they are summed to one state per period, channel and order, and these states give sums and order
+    counts alike. An order that occurs in several channels counts in each of them and once in the total, where the first of
+    its states stands for it. Two grouping sets instead of a roll-up: the grand total over both periods is never computed.
+    """
+    per_order = _additive(lines, "period", "channel", "order_number")
+    leads = F.row_number().over(Window.partitionBy("period", "order_number").orderBy("channel")) == 1
+    numbered = F.col("order_number").isNotNull()
+    per_channel = per_order.withColumn("leads", leads).groupBy("period", "channel").agg(
+        *[F.sum(a).alias(a) for a in _ADDITIVE],
+        F.count_if(numbered).alias("in_channel"),
+        F.count_if(numbered & F.col("leads")).alias("led"),
+    )
+    orders = F.when(F.col("is_total"), F.col("led")).otherwise(F.col("in_channel")).alias("orders")
+    return _figures(_with_totals(per_channel, "in_channel", "led"), orders)
+
+
+def kpi_amounts(lines: DataFrame) -> DataFrame:
+    """``kpi_summary`` without the number of orders: lines collapse map-side to one row per period and channel."""
+    return _figures(_with_totals(_additive(lines, "period", "channel")))
+
+
 def kpi_by_category(lines: DataFrame, skus: DataFrame) -> DataFrame:
     per_sku = lines.groupBy("sku", "period", "channel").agg(*sums("net_sales", "gross_margin", "quantity"))
     return (

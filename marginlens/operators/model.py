@@ -199,12 +199,20 @@ def with_sku(lines: DataFrame, products: DataFrame) -> DataFrame:
     return lines.join(products.select("product_key", "sku"), "product_key", "left")
 
 
-def fact_sales(lines: DataFrame) -> DataFrame:
-    """Fact at order-line grain from unified lines that carry their sku."""
+def identified(lines: DataFrame) -> DataFrame:
+    """Lines with their id and date key."""
     return lines.withColumns(
         {
-            "sales_line_id": F.concat("channel", F.lit("|"), "order_number", F.lit("|"), F.col("order_line").cast("string")),
+            "sales_line_id": F.concat(F.coalesce("channel", F.lit("")), F.lit("|"), "order_number", F.lit("|"), F.col("order_line").cast("string")),
             "date_key": F.year("order_date") * 10000 + F.month("order_date") * 100 + F.dayofmonth("order_date"),
+        }
+    )
+
+
+def fact_sales(lines: DataFrame) -> DataFrame:
+    """Fact at order-line grain from unified lines that carry their sku."""
+    return identified(lines).withColumns(
+        {
             "gross_margin": F.col("net_sales") - F.col("cogs"),
             "margin_before_discount": F.col("gross_amount") - F.col("cogs"),
             "is_below_cost": F.col("net_sales") < F.col("cogs"),

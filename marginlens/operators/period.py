@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,5 +40,16 @@ def p1_lines(fact: DataFrame, params: Params) -> DataFrame:
     return _between_days(fact, start, params.p1_end).filter(period_tag(params) == "P1")
 
 
+def month_range(params: Params) -> tuple[date, date]:
+    """First and last day of the months that monthly reports show."""
+    first, last = (date.fromisoformat(f"{month}-01") for month in params.month_range)
+    return first, (last.replace(day=28) + timedelta(days=4)).replace(day=1) - timedelta(days=1)
+
+
+def reported_months(fact: DataFrame, params: Params) -> DataFrame:
+    """Lines of the months that monthly reports show, the range being a predicate of the scan."""
+    return _between_days(fact, *month_range(params))
+
+
 def tagged(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("period").isNotNull())

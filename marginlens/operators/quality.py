@@ -17,6 +17,7 @@ from marginlens.functions.staged import stage
 from marginlens.operators.period import tagged
 from marginlens.params import Params
 
+# The names of the rules.
 CHECKS = (
     "chk_fact_rows_equal_staging",
     "chk_fact_grain_unique",
@@ -46,7 +47,7 @@ class QualityError(RuntimeError):
 
 
 def line_rules(params: Params) -> dict[str, Column]:
-    """Rule name to a predicate that is true on a violating line."""
+    """Rule name to a predicate that is true on a violating line. A line without channel breaks the rule of channel keys."""
     tolerance = dec(params.identity_tolerance)
     channel, reseller, customer = F.col("channel"), F.col("reseller_key"), F.col("customer_key")
 
@@ -55,7 +56,8 @@ def line_rules(params: Params) -> dict[str, Column]:
 
     return {
         "chk_orphan_products": F.col("sku").isNull(),
-        "chk_channel_keys": ((channel == params.b2b) & (reseller.isNull() | customer.isNotNull()))
+        "chk_channel_keys": channel.isNull()
+        | ((channel == params.b2b) & (reseller.isNull() | customer.isNotNull()))
         | ((channel == params.b2c) & (customer.isNull() | reseller.isNotNull())),
         "chk_gross_amount_identity": off("gross_amount", F.col("quantity") * F.col("unit_price")),
         "chk_net_identity": off("net_sales", F.col("gross_amount") - F.col("discount_amount")),
@@ -85,18 +87,11 @@ def _total(name: str) -> Column:
     return F.count(F.lit(1)).alias(name) if name == "rows" else F.sum(name).cast("decimal(38,4)").alias(name)
 
 
-def _gap(fact: DataFrame, source: DataFrame, total: str) -> DataFrame:
-    """Absolute difference of one total; the union holds one row per side."""
-    signed = fact.agg(_total(total)).unionByName(source.agg(_total(total)).select((-F.col(total)).alias(total)))
-    return signed.agg(F.abs(F.sum(total)).alias(total))
-
-
-def rows_equal_staging(fact: DataFrame, raw_lines: DataFrame) -> DataFrame:
-    return _gap(fact, raw_lines, "rows").select(F.col("rows").alias("violations"))
-
-
-def sum_reconciles(fact: DataFrame, source_lines: DataFrame, measure: str) -> DataFrame:
-    return _gap(fact, source_lines, measure).select(dbl(measure).alias("violations"))
+def reconciles(fact: DataFrame, source_totals: DataFrame, total: str) -> DataFrame:
+    """Absolute difference of one total of the fact to the source's; the union holds one row per side."""
+    signed = fact.agg(_total(total)).unionByName(source_totals.select((-F.col(total)).alias(total)))
+    gap = F.abs(F.coalesce(F.sum(total), F.lit(0)))
+    return signed.agg((gap if total == "rows" else dbl(gap)).alias("violations"))
 
 
 def grain_unique(fact: DataFrame) -> DataFrame:
@@ -144,6 +139,12 @@ def sku_has_unique_category(products: DataFrame) -> DataFrame:
     return per_sku.agg(F.count_if(F.col("categories") > 1).alias("violations"))
 
 
+_RULE_COLUMNS = (
+    "sales_line_id", "channel", "sku", "date_key", "reseller_key", "customer_key", "territory_key", "promotion_key", "quantity",
+    "unit_price", "gross_amount", "discount_pct", "discount_amount", "net_sales", "unit_cogs", "cogs",
+)
+
+
 # ---- all rules together ------------------------------------------------------------------------------------------
 
 _USAGE_SETS = (
@@ -170,24 +171,24 @@ def _key_usage(fact: DataFrame) -> DataFrame:
     return counted.withColumn("usage_set", which).drop("gid")
 
 
-def _totals_and_rules(fact: DataFrame, staged_lines: DataFrame, raw_lines: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """One row: violations of every line rule and the absolute differences to the source, from one pass over each input."""
+def _totals_and_rules(fact: DataFrame, source_totals: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """One row: violations of every line rule and the absolute differences to the source's totals, from one pass over the fact."""
     of_fact = fact.agg(*map(_total, _TOTALS), *[F.count_if(broken).alias(rule) for rule, broken in rules.items()])
-    came_in = raw_lines.agg(_total("rows"), _total("net_sales"))
-    cost = staged_lines.agg(_total("cogs"))
-    sides = of_fact
-    for source in (came_in, cost):
-        sides = sides.unionByName(source.select(*[(-F.col(n)).alias(n) for n in source.columns]), allowMissingColumns=True)
+    sides = of_fact.unionByName(source_totals.select(*[(-F.col(n)).alias(n) for n in _TOTALS]), allowMissingColumns=True)
     gaps = [F.abs(F.coalesce(F.sum(n), F.lit(0))).alias(n) for n in _TOTALS]
     return sides.agg(*gaps, *[F.sum(rule).alias(rule) for rule in rules])
 
 
 def quality_report(
-    fact: DataFrame, staged_lines: DataFrame, raw_lines: DataFrame, dims: dict[str, DataFrame], products: DataFrame, params: Params
+    fact: DataFrame, source_totals: DataFrame, dims: dict[str, DataFrame], products: DataFrame, params: Params, stored: bool = False
 ) -> DataFrame:
-    """One row per rule: ``check``, ``violations`` (double)."""
+    """One row per rule: ``check``, ``violations`` (double). ``source_totals`` has rows, net_sales and cogs.
+
+    A fact that is not ``stored`` is joined once and written with the columns that rules read; every pass is over that.
+    """
     rules = line_rules(params)
-    local = _totals_and_rules(fact, staged_lines, raw_lines, rules)
+    fact = fact if stored else stage(fact.select(*_RULE_COLUMNS), "audited-lines")
+    local = _totals_and_rules(fact, source_totals, rules)
     usage = stage(_key_usage(fact), "key-usage")
 
     def used(index: int) -> DataFrame:

@@ -34,11 +34,11 @@ _MODEL: dict[str, Query] = {
     "dim_customer": lambda m: m.dim_customer,
     "dim_reseller": lambda m: m.dim_reseller,
     "dim_promotion": lambda m: m.dim_promotion,
-    "dim_channel": lambda m: model.channel_usage(m.fact(), m.dim_channel),
+    "dim_channel": lambda m: model.channel_usage(m.bare_lines(), m.dim_channel),
     "fact_sales": lambda m: m.fact(),
     "fact_preview": lambda m: report.fact_preview(m.fact()),
     "sales_period": lambda m: m.sales_period,
-    "period_labels": lambda m: quality.coverage_by_period(m.sales_period, m.params),
+    "period_labels": lambda m: quality.coverage_by_period(m.bare_period, m.params),
 }
 
 
@@ -47,16 +47,16 @@ def _line_rule(rule: str) -> Query:
 
 
 _QUALITY: dict[str, Query] = {
-    "chk_fact_rows_equal_staging": lambda m: quality.rows_equal_staging(m.fact(), m.raw_lines()),
+    "chk_fact_rows_equal_staging": lambda m: quality.reconciles(m.fact(), m.source_totals("rows"), "rows"),
     "chk_fact_grain_unique": lambda m: quality.grain_unique(m.fact()),
-    "chk_net_sales_reconcile_staging": lambda m: quality.sum_reconciles(m.fact(), m.raw_lines(), "net_sales"),
-    "chk_cogs_reconcile_staging": lambda m: quality.sum_reconciles(m.fact(), m.staged_lines(), "cogs"),
+    "chk_net_sales_reconcile_staging": lambda m: quality.reconciles(m.fact(), m.source_totals("net_sales"), "net_sales"),
+    "chk_cogs_reconcile_staging": lambda m: quality.reconciles(m.fact(), m.source_totals("cogs"), "cogs"),
     "chk_orphan_products": _line_rule("chk_orphan_products"),
     "chk_orphan_sku_category": lambda m: quality.orphan_sku_category(m.fact(), m.skus("category")),
     "chk_orphan_dates": lambda m: quality.orphan_keys(m.fact(), m.dim_date, "date_key"),
     "chk_orphan_territories": lambda m: quality.orphan_keys(m.fact(), m.dim_territory, "territory_key"),
     "chk_orphan_promotions": lambda m: quality.orphan_keys(m.fact(), m.dim_promotion, "promotion_key"),
-    "chk_channel_keys": _line_rule("chk_channel_keys"),
+    "chk_channel_keys": lambda m: quality.line_rule(m.bare_lines(), "chk_channel_keys", m.params),
     "chk_orphan_resellers_customers": lambda m: quality.orphan_parties(m.fact(), m.dim_reseller, m.dim_customer, m.params),
     "chk_gross_amount_identity": _line_rule("chk_gross_amount_identity"),
     "chk_net_identity": _line_rule("chk_net_identity"),
@@ -64,14 +64,16 @@ _QUALITY: dict[str, Query] = {
     "chk_discount_identity": _line_rule("chk_discount_identity"),
     "chk_positive_quantities_and_costs": _line_rule("chk_positive_quantities_and_costs"),
     "chk_sku_has_unique_category": lambda m: quality.sku_has_unique_category(m.dim_product),
-    "info_period_coverage": lambda m: quality.period_coverage(m.fact()),
-    "quality_report": lambda m: quality.quality_report(m.fact(), m.staged_lines(), m.raw_lines(), m.dims, m.dim_product, m.params),
+    "info_period_coverage": lambda m: quality.period_coverage(m.bare_lines()),
+    "quality_report": lambda m: quality.quality_report(
+        m.fact(), m.source_totals("rows", "net_sales", "cogs"), m.dims, m.dim_product, m.params, m.stored
+    ),
     "fact_margin_discount_identity": lambda m: quality.margin_discount_identity(m.fact(), m.params),
-    "period_month_coverage": lambda m: quality.period_month_coverage(m.sales_period),
-    "months_missing_a_channel": lambda m: quality.months_missing_a_channel(m.sales_period),
+    "period_month_coverage": lambda m: quality.period_month_coverage(m.bare_period),
+    "months_missing_a_channel": lambda m: quality.months_missing_a_channel(m.bare_period),
     "product_version_count": lambda m: quality.product_version_count(m.dim_product),
-    "channel_discount_total": lambda m: quality.channel_discount_total(m.fact(), m.params.b2c),
-    "last_order_of_channel": lambda m: quality.last_order_of_channel(m.fact(), m.params.b2b, m.params),
+    "channel_discount_total": lambda m: quality.channel_discount_total(m.bare_lines(), m.params.b2c),
+    "last_order_of_channel": lambda m: quality.last_order_of_channel(m.bare_lines(), m.params.b2b, m.params),
     "staging_row_counts": lambda m: quality.row_counts(m.staging_tables()),
 }
 
@@ -165,12 +167,12 @@ _WHATIF: dict[str, Query] = {
 
 _SUMMARY: dict[str, Query] = {
     "kpi_matrix": lambda m: summary.kpi_matrix(kpi.kpi_summary(m.sales_period)),
-    "growth": lambda m: summary.growth(summary.kpi_matrix(kpi.kpi_summary(m.sales_period)), m.params),
-    "channel_evolution": lambda m: summary.channel_evolution(summary.kpi_matrix(kpi.kpi_summary(m.sales_period))),
+    "growth": lambda m: summary.growth(summary.kpi_matrix(kpi.kpi_amounts(m.sales_period)), m.params),
+    "channel_evolution": lambda m: summary.channel_evolution(summary.kpi_matrix(kpi.kpi_amounts(m.sales_period))),
     "internet_plus10_margin": lambda m: summary.internet_plus10_margin(
-        summary.kpi_matrix(kpi.kpi_summary(m.sales_period)), m.params
+        summary.kpi_matrix(kpi.kpi_amounts(m.sales_period)), m.params
     ),
-    "b2b_share_of_sales": lambda m: summary.b2b_share_of_sales(summary.kpi_matrix(kpi.kpi_summary(m.sales_period)), m.params),
+    "b2b_share_of_sales": lambda m: summary.b2b_share_of_sales(summary.kpi_matrix(kpi.kpi_amounts(m.sales_period)), m.params),
     "categories_p1": lambda m: summary.categories_p1(kpi.kpi_by_category(m.sales_period, m.skus("category"))),
     "price_structure_labelled": lambda m: summary.price_structure_labelled(kpi.kpi_price_structure(m.p1, m.skus("category"), m.params)),
     "loss_making_summary": lambda m: summary.loss_making_summary(m.p1, m.skus("category"), m.params),
@@ -183,15 +185,15 @@ _REPORT: dict[str, Query] = {
     "waterfall_steps": lambda m: report.waterfall_steps(bridge.pvm_bridge(m.compared, m.params)),
     "waterfall_steps_by_channel": lambda m: report.waterfall_steps_by_channel(bridge.pvm_by_channel(m.compared), m.params),
     "subcategory_pivot_top10": lambda m: report.subcategory_pivot_top(kpi.kpi_by_subcategory(m.p1, m.skus("category", "subcategory")), m.params),
-    "monthly_window": lambda m: report.monthly_window(kpi.kpi_monthly(m.fact(), m.dim_date), m.params),
-    "worst_month": lambda m: report.worst_month(kpi.kpi_monthly(m.fact(), m.dim_date), m.params),
+    "monthly_window": lambda m: report.monthly_window(kpi.kpi_monthly(m.reported_months, m.dim_date), m.params),
+    "worst_month": lambda m: report.worst_month(kpi.kpi_monthly(m.reported_months, m.dim_date), m.params),
     "promo_top6": lambda m: report.promo_top(discounts.disc_by_promotion(m.p1, m.dim_promotion, m.params)),
     "worst_cost_increase": lambda m: report.worst_cost_increase(bridge.pvm_top_cost_increases(m.compared, m.skus("product_name"))),
     "note_lookups": lambda m: report.note_lookups(
         kpi.kpi_by_subcategory(m.p1, m.skus("category", "subcategory")),
         pareto.abc_summary(m.pareto_sku, "skus"),
         pareto.abc_summary(m.pareto_reseller, "resellers"),
-        quality.period_coverage(m.fact()),
+        quality.period_coverage(m.bare_lines()),
         m.params,
     ),
 }

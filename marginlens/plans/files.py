@@ -11,7 +11,7 @@ from marginlens.functions.staged import shared_dir
 from marginlens.operators import model
 from marginlens.plans.model import FileModel, OrderModel, SalesModel
 from marginlens.sources import exports
-from marginlens.sources.delimited import staging
+from marginlens.sources.delimited import staging, unambiguous
 from marginlens.sources.schemas import FILES, layout
 
 
@@ -23,10 +23,8 @@ def _in_layout(df: DataFrame, name: str) -> DataFrame:
     """``df`` with exactly the columns of a source file; what it lacks is NULL."""
     columns = []
     for field in layout(name):
-        value = F.col(field.name) if field.name in df.columns else F.lit(None)
-        text = value.cast(field.dataType)
-        # the format has no quoting, so the separator cannot occur in a text field
-        columns.append((F.replace(text, F.lit("|"), F.lit("/")) if field.dataType.simpleString() == "string" else text).alias(field.name))
+        value = (F.col(field.name) if field.name in df.columns else F.lit(None)).cast(field.dataType)
+        columns.append((unambiguous(value, field.name) if field.dataType.simpleString() == "string" else value).alias(field.name))
     return df.select(*columns)
 
 

@@ -6,17 +6,25 @@ from datetime import date
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marginlens.operators import bridge, model, pareto, period
 from marginlens.params import Params
 from marginlens.sources.order_tables import OrderTables
 
 
+def summed_control(by_month: DataFrame, *names: str) -> DataFrame:
+    sums = {"rows": "bigint", "net_sales": "decimal(38,4)", "cogs": "decimal(38,4)"}
+    return by_month.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast(sums[n]).alias(n) for n in names])
+
+
 class SalesModel:
     """Base: every attribute is a lazy DataFrame; sources override how staging and fact come about."""
 
     spark: SparkSession
     params: Params
+    #: Whether the fact is read as it is, without joins.
+    stored = False
 
     # ---- supplied by the source
 
@@ -24,13 +32,21 @@ class SalesModel:
         """The fact, optionally restricted to order dates of an inclusive range at the scan."""
         raise NotImplementedError
 
-    def staged_lines(self) -> DataFrame:
-        """The unified order lines before the model, for reconciliation."""
+    def bare_lines(self, between: tuple[date, date] | None = None) -> DataFrame:
+        """The fact's lines without what needs a look-up of their product: no sku, cost or margin."""
+        return self.fact(between)
+
+    def control_totals(self) -> DataFrame:
+        """(month, rows, net_sales, cogs) of the source, one row per month, that the fact must account for.
+
+        They don't come from the fact's own joins: an attribute is looked up in frames with one row per key, so a key that
+        occurs twice in a dimension multiplies lines of the fact and not these.
+        """
         raise NotImplementedError
 
-    def raw_lines(self) -> DataFrame:
-        """What came in, with net_sales, before any join; rows and sales are reconciled with it."""
-        return self.staged_lines()
+    def source_totals(self, *names: str) -> DataFrame:
+        """One row with the named control totals over all months."""
+        return summed_control(self.control_totals(), *names)
 
     # ---- shared
 
@@ -52,6 +68,16 @@ class SalesModel:
         p = self.params
         return period.sales_period(self.fact((p.p0_start, p.p1_end)), p)
 
+    @property
+    def bare_period(self) -> DataFrame:
+        """``sales_period`` over bare lines."""
+        p = self.params
+        return period.sales_period(self.bare_lines((p.p0_start, p.p1_end)), p)
+
+    @property
+    def reported_months(self) -> DataFrame:
+        return period.reported_months(self.fact(period.month_range(self.params)), self.params)
+
     @property
     def p1(self) -> DataFrame:
         p = self.params
@@ -107,12 +133,19 @@ class FileModel(SalesModel):
     def __init__(self, spark: SparkSession, staging: dict[str, DataFrame], params: Params):
         self.spark, self.staging, self.params = spark, staging, params
 
+    def control_totals(self) -> DataFrame:
+        month = F.date_format("order_date", "yyyy-MM").alias("month")
+        return self.staged_lines().groupBy(month).agg(F.count(F.lit(1)).alias("rows"), F.sum("net_sales").alias("net_sales"), F.sum("cogs").alias("cogs"))
+
     def staged_lines(self) -> DataFrame:
         return model.unified_lines(self.staging["FactResellerSales"], self.staging["FactInternetSales"], self.params)
 
     def fact(self, between: tuple[date, date] | None = None) -> DataFrame:
         return model.fact_sales(model.with_sku(self.staged_lines(), model.product_keys(self.staging["DimProduct"])))
 
+    def bare_lines(self, between: tuple[date, date] | None = None) -> DataFrame:
+        return model.identified(self.staged_lines())
+
     @cached_property
     def dim_date(self) -> DataFrame:
         return model.dim_date(self.staging["DimDate"])
@@ -155,15 +188,19 @@ class OrderModel(SalesModel):
         self.source = OrderTables(spark, base, params)
         self.params = self.source.params
 
-    def staged_lines(self) -> DataFrame:
-        return self.source.sales_lines()
+    def control_totals(self) -> DataFrame:
+        return self.source.control_totals()
 
-    def raw_lines(self) -> DataFrame:
-        return self.source.raw_lines()
+    def source_totals(self, *names: str) -> DataFrame:
+        # without cost, the lines alone are enough
+        return super().source_totals(*names) if "cogs" in names else self.source.raw_totals().select(*names)
 
     def fact(self, between: tuple[date, date] | None = None) -> DataFrame:
         return model.fact_sales(self.source.sales_lines(between))
 
+    def bare_lines(self, between: tuple[date, date] | None = None) -> DataFrame:
+        return model.identified(self.source.sales_lines(between, products=False))
+
     @cached_property
     def dim_date(self) -> DataFrame:
         return model.dim_date(self.source.dates())

@@ -1,22 +1,27 @@
-"""A stored sales model: the star tables and the derived analysis tables as Parquet.
+"""A stored sales model: the star tables and the derived analysis tables as Parquet, in numbered snapshots.
 
 Building is the expensive part (source joins, one pass to write the fact). Queries then read few columns and, for the
-comparison windows, few month folders of the stored fact.
+comparison windows, few month folders of the stored fact. Building again or adding months writes new folders and then one
+manifest; whoever reads meanwhile, or after a build that broke off, sees the snapshot before it.
 """
 
 from __future__ import annotations
 
+import json
 from datetime import date
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from marginlens.operators import bridge, pareto, quality
 from marginlens.operators.model import FACT_COLUMNS
 from marginlens.operators.period import MONTH_PARTITION
 from marginlens.params import Params
 from marginlens.plans import catalog
-from marginlens.plans.model import SalesModel
+from marginlens.plans.model import SalesModel, summed_control
+from marginlens.plans.snapshots import FACT, MONTH_FOLDER, Manifest, SnapshotStore, month_folder, table_folder
 from marginlens.sources import exports
 
 DIMENSIONS = ("date", "product", "sku", "territory", "geography", "customer", "reseller", "promotion", "channel")
@@ -31,63 +36,107 @@ REPORTS = (
 )
 
 
+#: What the source had in a month, counted before the model's joins.
+CONTROL = ("rows", "net_sales", "cogs")
+NO_MONTH = "__HIVE_DEFAULT_PARTITION__"
+
+
 class Warehouse(SalesModel):
     """Open with ``Warehouse(spark, path, params)`` or create with ``Warehouse.build``."""
 
-    def __init__(self, spark: SparkSession, path: str, params: Params, source: SalesModel | None = None):
+    stored = True
+
+    def __init__(
+        self, spark: SparkSession, path: str, params: Params, source: SalesModel | None = None, manifest: Manifest | None = None
+    ):
         self.spark, self.path, self.params, self.source = spark, path.rstrip("/"), params, source
+        self.manifest = manifest or SnapshotStore(spark, path).read()
         self._tables: dict[str, DataFrame] = {}
         for name in DIMENSIONS:
             setattr(self, f"dim_{name}", self.table(f"dim_{name}"))
 
     @classmethod
     def build(cls, source: SalesModel, path: str) -> "Warehouse":
-        """Write fact, dimensions and derived tables of ``source`` under ``path``.
+        """Write fact, dimensions and derived tables of ``source`` as the next snapshot under ``path``."""
+        return cls._write(source, path, {}, {})
 
-        The fact is partitioned by month. Its rows are rebalanced on the month first, which gives every month a few
-        right-sized files and splits months that are larger than the advisory partition size.
-        """
+    @classmethod
+    def add_months(cls, source: SalesModel, path: str) -> "Warehouse":
+        """The next snapshot, in which the months that ``source`` has lines of are its lines and the other months stay.
 
-        def store(df: DataFrame, name: str, *partitions: str) -> None:
-            df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path.rstrip('/')}/{name}")
+        Only those months of the fact are written. Dimensions are taken from ``source``, whole; the derived tables are computed
+        again, from the two comparison windows of the stored fact.
+        """
+        current = SnapshotStore(source.spark, path).read()
+        return cls._write(source, path, current.months, current.control)
 
-        months = source.fact().withColumn(MONTH_PARTITION, F.date_format("order_date", "yyyy-MM"))
-        store(months.hint("rebalance", MONTH_PARTITION), "fact_sales", MONTH_PARTITION)
+    @classmethod
+    def _write(cls, source: SalesModel, path: str, months: dict[str, int], control: dict[str, dict[str, str]]) -> "Warehouse":
+        """The fact is partitioned by month. Its rows are rebalanced on the month first, which gives every month a few
+        right-sized files and splits months that are larger than the advisory partition size.
+        """
+        path = path.rstrip("/")
+        store = SnapshotStore(source.spark, path)
+        number = store.next_number()
+        manifest = Manifest(number)
+
+        def write(df: DataFrame, name: str, *partitions: str) -> None:
+            manifest.tables[name] = table_folder(name, number)
+            manifest.schemas[name] = df.drop(*partitions).schema.json()
+            df.write.mode("errorifexists").partitionBy(*partitions).parquet(f"{path}/{manifest.tables[name]}")
+
+        counted = {r["month"] or NO_MONTH: {n: str(r[n] or 0) for n in CONTROL} for r in source.control_totals().collect()}
+        lines = source.fact().withColumn(MONTH_PARTITION, F.date_format("order_date", "yyyy-MM"))
+        write(lines.hint("rebalance", MONTH_PARTITION), FACT, MONTH_PARTITION)
+        written = [n.removeprefix(MONTH_FOLDER) for n in store.folders(*table_folder(FACT, number).split("/")) if n.startswith(MONTH_FOLDER)]
+        manifest.months = months | {month: number for month in written}
+        manifest.control = control | counted
         for name, dimension in source.dims.items():
-            store(dimension, f"dim_{name}")
-        stored = cls(source.spark, path, source.params, source)
-        store(bridge.compare_periods(stored.sales_period), "bridge_units")
-        store(bridge.pvm_lines(stored.compared, staged=False), "pvm_lines")
+            write(dimension, f"dim_{name}")
+        stored = cls(source.spark, path, source.params, source, manifest)
+        write(bridge.compare_periods(stored.sales_period), "bridge_units")
+        write(bridge.pvm_lines(stored.compared, staged=False), "pvm_lines")
         resellers, skus = stored.dim_reseller, stored.skus("product_name", "category", "subcategory")
-        store(pareto.pareto_sku(stored.p1, skus, stored.params), "pareto_sku")
-        store(pareto.pareto_reseller(stored.p1, resellers, stored.params), "pareto_reseller")
+        write(pareto.pareto_sku(stored.p1, skus, stored.params), "pareto_sku")
+        write(pareto.pareto_reseller(stored.p1, resellers, stored.params), "pareto_reseller")
+        store.publish(manifest)
         return stored
 
     def table(self, name: str) -> DataFrame:
         """Scan of a stored table. The files are listed once per warehouse, not once per query."""
         if name not in self._tables:
-            self._tables[name] = self.spark.read.parquet(f"{self.path}/{name}")
+            schema = StructType.fromJson(json.loads(self.manifest.schemas[name]))
+            if name == FACT:
+                self._tables[name] = self._months(schema)
+            else:
+                self._tables[name] = self.spark.read.schema(schema).parquet(f"{self.path}/{self.manifest.tables[name]}")
         return self._tables[name]
 
+    def _months(self, schema: StructType) -> DataFrame:
+        """The month folders that the manifest names, of whichever snapshots wrote them."""
+        folders = [f"{self.path}/{month_folder(month, number)}" for month, number in sorted(self.manifest.months.items())]
+        with_month = StructType([*schema, StructField(MONTH_PARTITION, StringType())])
+        if not folders:
+            return self.spark.createDataFrame([], with_month)
+        return self.spark.read.schema(with_month).option("basePath", f"{self.path}/tables/{FACT}").parquet(*folders)
+
     # ---- SalesModel
 
     def fact(self, between: tuple[date, date] | None = None) -> DataFrame:
         # Month folders stay visible so that the window filters can prune them; full reads drop the extra column.
-        # The types of partition columns are inferred from folder names, hence the cast.
-        stored = self.table("fact_sales")
-        if between is None:
-            return stored.select(*FACT_COLUMNS)
-        return stored.withColumn(MONTH_PARTITION, F.col(MONTH_PARTITION).cast("string"))
-
-    def staged_lines(self) -> DataFrame:
-        if self.source is None:
-            raise RuntimeError("reconciliation needs the source this warehouse was built from")
-        return self.source.staged_lines()
-
-    def raw_lines(self) -> DataFrame:
-        if self.source is None:
-            raise RuntimeError("reconciliation needs the source this warehouse was built from")
-        return self.source.raw_lines()
+        stored = self.table(FACT)
+        return stored.select(*FACT_COLUMNS) if between is None else stored.select(*FACT_COLUMNS, MONTH_PARTITION)
+
+    def control_totals(self) -> DataFrame:
+        """Rows, net sales and cost of the source by month, as its lines were counted when they were written."""
+        rows = [
+            (None if month == NO_MONTH else month, int(c["rows"]), Decimal(c["net_sales"]), Decimal(c["cogs"]))
+            for month, c in sorted(self.manifest.control.items())
+        ]
+        return self.spark.createDataFrame(rows, "month string, rows bigint, net_sales decimal(38,4), cogs decimal(38,4)")
+
+    def source_totals(self, *names: str) -> DataFrame:
+        return summed_control(self.control_totals(), *names)
 
     def staging_tables(self) -> dict[str, DataFrame]:
         if self.source is None:

@@ -1,28 +1,77 @@
-"""Scans of headerless pipe-delimited files into staging frames."""
+"""Scans of headerless pipe-delimited files into staging frames.
+
+A line is checked as a whole before any of its fields is used: the number of fields, and every typed field. The check is a
+condition on rows, so neither a count nor a query of one column can leave it out, however few columns Spark reads.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from marginlens.sources.schemas import FILES, layout
 
+SEPARATOR = "|"
+#: So much of a rejected line is quoted in an error.
+QUOTED = 200
+
+
+def _schema(schema: StructType | str) -> StructType:
+    return StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, fields): the lines of the files that hold anything."""
+    read = spark.read.text(path).filter(F.length("value") > 0)
+    fields = F.split("value", rf"\{SEPARATOR}", -1)
+    return read.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"), fields.alias("fields"))
+
+
+def _text(at: int) -> Column:
+    return F.nullif(F.get("fields", F.lit(at)), F.lit(""))
+
+
+def _typed(at: int, field: StructField) -> Column:
+    """Field number ``at``; NULL if it is empty or does not fit its type."""
+    return _text(at) if isinstance(field.dataType, StringType) else _text(at).try_cast(field.dataType)
+
+
+def reject_reason(schema: StructType) -> Column:
+    """Why a line does not fit, or NULL: the number of its fields, else the first typed field that cannot be read."""
+    found = F.size("fields")
+    counted = F.concat(found.cast("string"), F.lit(f" fields instead of {len(schema)}"))
+    reason = F.when(found != len(schema), counted)
+    for at, field in enumerate(schema):
+        if not isinstance(field.dataType, StringType):
+            kind = field.dataType.simpleString()
+            text = F.concat(F.lit(f"{field.name} is not {kind}: "), _text(at))
+            reason = reason.when(_text(at).isNotNull() & _typed(at, field).isNull(), text)
+    return reason
+
 
 def scan_delimited(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Rows of a headerless ``|`` file: an empty field is NULL, quotes and backslashes are plain characters.
+    """Rows of a headerless ``|`` file: an empty field is NULL, quotes and backslashes are plain characters, empty lines are none.
 
-    A row that does not fit the schema fails the job instead of becoming NULLs.
+    A line with too few or too many fields or with a typed field that cannot be read fails the job, and the error names the
+    file, the reason and the line, whatever columns the job uses. ``rejects`` lists such lines instead.
     """
-    return (
-        spark.read.schema(schema)
-        .option("sep", "|")
-        .option("header", "false")
-        .option("nullValue", "")
-        .option("quote", "")
-        .option("escape", "")
-        .option("mode", "FAILFAST")
-        .csv(path)
-    )
+    declared = _schema(schema)
+    reason = reject_reason(declared)
+    told = F.concat(F.lit("Malformed line in "), F.col("file"), F.lit(": "), reason, F.lit(": "), F.substring("line", 1, QUOTED))
+    fits = F.when(reason.isNull(), F.lit(True)).otherwise(F.raise_error(told).cast("boolean"))
+    return _lines(spark, path).filter(fits).select(*[_typed(at, f).alias(f.name) for at, f in enumerate(declared)])
+
+
+def rejects(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """(file, reason, line) of every line that does not fit the schema."""
+    return _lines(spark, path).select("file", reject_reason(_schema(schema)).alias("reason"), "line").filter(F.col("reason").isNotNull())
+
+
+def unambiguous(text: Column, name: str) -> Column:
+    """``text`` as a field of such a file. The format has no quoting: text with the separator or a line break fails the job."""
+    refused = F.raise_error(F.concat(F.lit(f"{name} holds a separator or a line break: "), text)).cast("string")
+    return F.when(text.rlike(r"[|\n\r]"), refused).otherwise(text)
 
 
 def staging(spark: SparkSession, raw_dir: str, names: tuple[str, ...] = FILES, suffix: str = ".csv") -> dict[str, DataFrame]:

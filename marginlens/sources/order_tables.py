@@ -1,23 +1,24 @@
 """Staging frames derived from the order-processing tables (lineitem, orders, customer, part, nation, region).
 
 The two sales channels are customer market segments, a product version is a part and its sku is the brand with the part
-name, and standard cost drifts with the order year. The star model above this layer is the same for every source.
+name, and standard cost drifts with the order year. A part type is a category and a brand within it a subcategory. The star model above this layer is the same for every source.
 """
 
 from __future__ import annotations
 
 from datetime import date, timedelta
 from decimal import Decimal
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginlens.functions.dictionary import numbered
 from marginlens.functions.exprs import MONEY, dec, money
 from marginlens.params import Params
 
 # Fixed values of this mapping.
 B2B_SEGMENTS = ("BUILDING", "MACHINERY", "FURNITURE")
-PRODUCT_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 FRENCH_MONTHS = (
     "janvier", "février", "mars", "avril", "mai", "juin",
     "juillet", "août", "septembre", "octobre", "novembre", "décembre",
@@ -43,13 +44,35 @@ def default_params() -> Params:
     )
 
 
-def _category_key(product_type: str) -> Column:
-    """1-based position in PRODUCT_TYPES; NULL for an undeclared type, which then shows up as an orphan category."""
-    return F.nullif(F.array_position(F.lit(list(PRODUCT_TYPES)), F.col(product_type)).cast("int"), F.lit(0))
+#: Discount rates keep six decimals.
+RATE = "decimal(9,6)"
 
 
-def _subcategory_key() -> Column:
-    return _category_key("p_type") * 100 + F.substring("p_brand", 7, 10).cast("int")
+def _whole(column: str) -> Column:
+    """A whole number as INT; a fraction or a number beyond INT fails the job instead of being cut."""
+    number = F.col(column)
+    text = F.concat(F.lit(f"{column} is not a whole number: "), number.cast("string"))
+    return F.when(number.isNull() | (number == number.try_cast("int")), number.try_cast("int")).otherwise(F.raise_error(text))
+
+
+def _rate() -> Column:
+    return F.col("l_discount").cast(RATE)
+
+
+def _promotion_key(rate: Column) -> Column:
+    """One key per rate: millionths, from 1."""
+    return (rate * F.lit(1_000_000)).cast("int") + 1
+
+
+def _net_sales() -> Column:
+    """Net sales of a raw line: gross less the discount, which is rounded as money."""
+    gross = money("l_extendedprice")
+    return (gross - money(gross * _rate())).cast(MONEY)
+
+
+def _cost_drift(year: Column) -> Column:
+    drift_pct = F.lit(100) + 5 * (year - COST_BASE_YEAR)
+    return drift_pct.cast("decimal(5,0)") * dec(Decimal("0.01"))
 
 
 class OrderTables:
@@ -71,12 +94,13 @@ class OrderTables:
         return F.col("c_mktsegment").isin(*B2B_SEGMENTS)
 
     def _sku(self) -> Column:
-        return F.concat("p_brand", F.lit("|"), "p_name")
+        return F.concat("p_brand", F.lit(":"), "p_name")
 
-    def sales_lines(self, between: tuple[date, date] | None = None) -> DataFrame:
+    def sales_lines(self, between: tuple[date, date] | None = None, products: bool = True) -> DataFrame:
         """Order lines of both channels in the unified layout with their sku, in one pass over lineitem.
 
-        ``between`` (inclusive) is applied to the raw order timestamp so that it reaches the orders scan.
+        ``between`` (inclusive) is applied to the raw order timestamp so that it reaches the orders scan. Without ``products``
+        parts are not joined, and sku and cost are left out.
         """
         p = self.params
         orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
@@ -95,24 +119,24 @@ class OrderTables:
         # split a hot part there because the second join relies on the partitioning of the first.
         parts = self.table("part").select("p_partkey", money("p_retailprice").alias("retail"), self._sku().alias("sku"))
         # A line without its order, customer or part stays, with NULL in what it lacks; it is the quality rules that report it.
-        # Only a date range, which a line without an order cannot be in, leaves lines out.
-        lines = items.join(placed, F.col("l_orderkey") == F.col("o_orderkey"), "left" if between is None else "inner").join(
-            parts, F.col("l_partkey") == F.col("p_partkey"), "left"
-        )
+        # A buyer whose segment is unknown has no channel. Only a date range, which a line without an order cannot be in, leaves
+        # lines out.
+        lines = items.join(placed, F.col("l_orderkey") == F.col("o_orderkey"), "left" if between is None else "inner")
+        if products:
+            lines = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
+            lines = lines.withColumn("unit_cogs", money(F.col("retail") * _cost_drift(F.year("o_orderdate"))))
 
         gross, quantity = F.col("gross_amount"), F.col("quantity")
         ten_thousandths = (gross * F.lit(10000)).cast("bigint")
-        drift_pct = F.lit(100) + 5 * (F.year("order_date") - COST_BASE_YEAR)
-        drift = drift_pct.cast("decimal(5,0)") * dec(Decimal("0.01"))
         on_b2b = F.col("channel") == p.b2b
         return (
             lines.withColumns(
                 {
-                    "channel": F.when(self._is_b2b(), p.b2b).otherwise(p.b2c),
+                    "channel": F.when(self._is_b2b(), p.b2b).when(F.col("c_mktsegment").isNotNull(), p.b2c),
                     "order_date": F.col("o_orderdate").cast("date"),
-                    "quantity": F.col("l_quantity").cast("int"),
+                    "quantity": _whole("l_quantity"),
                     "gross_amount": money("l_extendedprice"),
-                    "discount_rate": F.col("l_discount").cast("decimal(5,2)"),
+                    "discount_rate": _rate(),
                 }
             )
             .withColumns(
@@ -120,7 +144,6 @@ class OrderTables:
                     "discount_amount": money(gross * F.col("discount_rate")),
                     # Unit price truncated to the fourth decimal with integer arithmetic.
                     "unit_price": money(F.call_function("div", ten_thousandths, quantity).cast("decimal(19,0)") * dec(Decimal("0.0001"))),
-                    "unit_cogs": money(F.col("retail") * drift),
                 }
             )
             .select(
@@ -128,37 +151,52 @@ class OrderTables:
                 F.concat(F.lit("SO"), F.col("l_orderkey").cast("string")).alias("order_number"),
                 F.col("l_linenumber").cast("int").alias("order_line"),
                 F.col("l_partkey").cast("bigint").alias("product_key"),
-                "sku",
+                *(["sku"] if products else []),
                 F.when(on_b2b, F.col("o_custkey")).cast("bigint").alias("reseller_key"),
                 F.when(~on_b2b, F.col("o_custkey")).cast("bigint").alias("customer_key"),
                 F.col("c_nationkey").cast("int").alias("territory_key"),
-                (F.round(F.col("l_discount") * 100).cast("int") + 1).alias("promotion_key"),
+                _promotion_key(F.col("discount_rate")).alias("promotion_key"),
                 "order_date",
                 "quantity",
                 "unit_price",
                 "gross_amount",
                 F.col("l_discount").alias("discount_pct"),
                 "discount_amount",
-                "unit_cogs",
-                money(F.col("unit_cogs") * quantity).alias("cogs"),
+                *(["unit_cogs", money(F.col("unit_cogs") * quantity).alias("cogs")] if products else []),
                 (gross - F.col("discount_amount")).cast(MONEY).alias("net_sales"),
             )
         )
 
-    def raw_lines(self) -> DataFrame:
-        """Net sales of every raw order line, from the lines alone: what the model must account for."""
-        gross = money("l_extendedprice")
-        discount = money(gross * F.col("l_discount").cast("decimal(5,2)"))
-        return self.table("lineitem").select((gross - discount).cast(MONEY).alias("net_sales"))
+    def raw_totals(self) -> DataFrame:
+        """Rows and net sales of the raw order lines, from the lines alone: one row that the model must account for."""
+        lines = self.table("lineitem").select(_net_sales().alias("net_sales"))
+        return lines.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("net_sales"), F.lit(0)).cast("decimal(38,4)").alias("net_sales"))
+
+    def control_totals(self) -> DataFrame:
+        """(month, rows, net_sales, cogs) of the raw lines. Look-ups have one row per key; cost is quantity per part and month
+        times that part's unit cost, so no line is priced by itself.
+        """
+        day = F.col("o_orderdate").cast("date")
+        orders = self.table("orders").groupBy("o_orderkey").agg(F.min(day).alias("day"))
+        parts = self.table("part").groupBy("p_partkey").agg(F.min(money("p_retailprice")).alias("retail"))
+        items = self.table("lineitem").select("l_orderkey", "l_partkey", F.col("l_quantity").cast("bigint").alias("quantity"), _net_sales().alias("net_sales"))
+        month = F.date_format("day", "yyyy-MM")
+        per_part = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy(
+            "l_partkey", month.alias("month"), F.year("day").alias("year")
+        ).agg(F.count(F.lit(1)).alias("rows"), F.sum("net_sales").alias("net_sales"), F.sum("quantity").alias("quantity"))
+        priced = per_part.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
+        cogs = (money(F.col("retail") * _cost_drift(F.col("year"))) * F.col("quantity")).cast("decimal(38,4)")
+        return priced.groupBy("month").agg(F.sum("rows").alias("rows"), F.sum("net_sales").alias("net_sales"), F.sum(cogs).alias("cogs"))
 
     def products(self) -> DataFrame:
-        part = self.table("part")
         retail = money("p_retailprice")
         size = F.col("p_size")
-        return part.select(
+        paths = self._subcategories.select(F.col("p_type").alias("of_type"), F.col("p_brand").alias("of_brand"), "subcategory_key")
+        same = F.col("p_type").eqNullSafe(F.col("of_type")) & F.col("p_brand").eqNullSafe(F.col("of_brand"))
+        return self.table("part").join(paths, same, "left").select(
             F.col("p_partkey").cast("string").alias("ProductKey"),
             self._sku().alias("ProductAlternateKey"),
-            _subcategory_key().cast("string").alias("ProductSubcategoryKey"),
+            F.col("subcategory_key").cast("string").alias("ProductSubcategoryKey"),
             F.col("p_name").alias("EnglishProductName"),
             F.col("p_name").alias("ModelName"),
             F.split_part("p_name", F.lit(" "), F.lit(1)).alias("Color"),
@@ -170,19 +208,25 @@ class OrderTables:
             F.when(size % 7 > 0, "Current").alias("Status"),
         )
 
+    @cached_property
+    def _categories(self) -> DataFrame:
+        return numbered(self.table("part"), ["p_type"], "category_key")
+
+    @cached_property
+    def _subcategories(self) -> DataFrame:
+        return numbered(self.table("part"), ["p_type", "p_brand"], "subcategory_key")
+
     def subcategories(self) -> DataFrame:
-        path = self.table("part").select(
-            _subcategory_key().alias("ProductSubcategoryKey"),
+        return self._subcategories.join(self._categories, "p_type", "left").select(
+            F.col("subcategory_key").alias("ProductSubcategoryKey"),
             F.col("p_brand").alias("EnglishProductSubcategoryName"),
-            _category_key("p_type").alias("ProductCategoryKey"),
+            F.col("category_key").alias("ProductCategoryKey"),
         )
-        return path.distinct()
 
     def categories(self) -> DataFrame:
-        path = self.table("part").select(
-            _category_key("p_type").alias("ProductCategoryKey"), F.col("p_type").alias("EnglishProductCategoryName")
+        return self._categories.select(
+            F.col("category_key").alias("ProductCategoryKey"), F.col("p_type").alias("EnglishProductCategoryName")
         )
-        return path.distinct()
 
     def dates(self) -> DataFrame:
         day = F.col("day")
@@ -246,23 +290,21 @@ class OrderTables:
         )
 
     def promotions(self) -> DataFrame:
-        rates = self.table("lineitem").select(
-            F.round(F.col("l_discount") * 100).cast("int").alias("points"),
-            F.col("l_discount").cast("decimal(5,2)").cast("string").alias("rate"),
-        )
-        points = F.col("points")
+        rates = self.table("lineitem").select(_rate().alias("rate")).filter("rate IS NOT NULL").distinct()
+        rate = F.col("rate")
+        points = F.regexp_replace((rate * 100).cast("decimal(9,4)").cast("string"), r"\.?0+$", "")
         kind = (
-            F.when(points == 0, "No Discount")
-            .when(points <= 5, "Volume Discount")
-            .when(points <= 8, "Seasonal Discount")
+            F.when(rate == 0, "No Discount")
+            .when(rate <= dec(Decimal("0.05")), "Volume Discount")
+            .when(rate <= dec(Decimal("0.08")), "Seasonal Discount")
             .otherwise(self.params.new_product_type)
         )
-        return rates.distinct().select(
-            (points + 1).cast("string").alias("PromotionKey"),
-            F.concat(F.lit("Offer "), points.cast("string"), F.lit(" %")).alias("EnglishPromotionName"),
-            F.col("rate").alias("DiscountPct"),
+        return rates.select(
+            _promotion_key(rate).cast("string").alias("PromotionKey"),
+            F.concat(F.lit("Offer "), points, F.lit(" %")).alias("EnglishPromotionName"),
+            rate.cast("string").alias("DiscountPct"),
             kind.alias("EnglishPromotionType"),
-            F.when(points == 0, "No Discount").otherwise("Reseller").alias("EnglishPromotionCategory"),
-            F.when(points == 0, "0").otherwise(F.concat(points.cast("string"), F.lit("0"))).alias("MinQty"),
-            F.when(points > 5, "open").otherwise("60").alias("MaxQty"),
+            F.when(rate == 0, "No Discount").otherwise("Reseller").alias("EnglishPromotionCategory"),
+            (rate * 1000).cast("int").cast("string").alias("MinQty"),
+            F.when(rate > dec(Decimal("0.05")), "open").otherwise("60").alias("MaxQty"),
         )

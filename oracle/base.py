@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
-from marginlens.sources.order_tables import B2B_SEGMENTS, FRENCH_MONTHS, PRODUCT_TYPES, default_params
+from marginlens.sources.order_tables import default_params
 
 P = default_params()
 
+# Fixed values of the mapping, stated here once more: the statements take no rule from the library.
+B2B_SEGMENTS = ("BUILDING", "FURNITURE", "MACHINERY")
+FRENCH_MONTHS = (
+    "janvier", "février", "mars", "avril", "mai", "juin",
+    "juillet", "août", "septembre", "octobre", "novembre", "décembre",
+)
+
 
 def text_list(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
-_CATEGORY_KEY = f"nullif(list_position([{text_list(PRODUCT_TYPES)}], p_type), 0)"
 _IN_P0 = f"order_date BETWEEN DATE '{P.p0_start}' AND DATE '{P.p0_end}'"
 _IN_P1 = f"order_date BETWEEN DATE '{P.p1_start}' AND DATE '{P.p1_end}'"
 
 # name: (blocks it needs, body)
 BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
     "bought": ((), f"""
-        SELECT CASE WHEN c_mktsegment IN ({text_list(B2B_SEGMENTS)}) THEN '{P.b2b}' ELSE '{P.b2c}' END AS channel,
+        SELECT CASE WHEN c_mktsegment IN ({text_list(B2B_SEGMENTS)}) THEN '{P.b2b}'
+                    WHEN c_mktsegment NOT IN ({text_list(B2B_SEGMENTS)}) THEN '{P.b2c}' END AS channel,
                l_orderkey, o_custkey, c_nationkey, l_linenumber, l_partkey, l_discount,
                CAST(o_orderdate AS DATE) AS order_date, CAST(l_quantity AS INTEGER) AS quantity,
                CAST(l_extendedprice AS DECIMAL(19,4)) AS gross_amount,
@@ -26,9 +33,9 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey
              LEFT JOIN part ON l_partkey = p_partkey"""),
     "raw": ((), """
-        SELECT CAST(l_extendedprice AS DECIMAL(19,4)) AS gross, CAST(l_discount AS DECIMAL(5,2)) AS rate FROM lineitem"""),
+        SELECT CAST(l_extendedprice AS DECIMAL(19,4)) AS gross, CAST(l_discount AS DECIMAL(9,6)) AS rate FROM lineitem"""),
     "priced": (("bought",), """
-        SELECT *, CAST(gross_amount * CAST(l_discount AS DECIMAL(5,2)) AS DECIMAL(19,4)) AS discount_amount,
+        SELECT *, CAST(gross_amount * CAST(l_discount AS DECIMAL(9,6)) AS DECIMAL(19,4)) AS discount_amount,
                CAST(CAST(CAST(gross_amount * 10000 AS BIGINT) // quantity AS DECIMAL(18,0)) * 0.0001 AS DECIMAL(19,4)) AS unit_price,
                CAST(retail * (CAST(100 + 5 * (year(order_date) - 1995) AS DECIMAL(5,0)) * 0.01) AS DECIMAL(19,4)) AS unit_cogs
         FROM bought"""),
@@ -37,15 +44,14 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
                CAST(l_partkey AS BIGINT) AS product_key,
                CASE WHEN channel = '{P.b2b}' THEN CAST(o_custkey AS BIGINT) END AS reseller_key,
                CASE WHEN channel = '{P.b2c}' THEN CAST(o_custkey AS BIGINT) END AS customer_key,
-               CAST(c_nationkey AS INTEGER) AS territory_key, CAST(round(l_discount * 100) AS INTEGER) + 1 AS promotion_key,
+               CAST(c_nationkey AS INTEGER) AS territory_key, CAST(round(l_discount * 1000000) AS INTEGER) + 1 AS promotion_key,
                order_date, quantity, unit_price, gross_amount, l_discount AS discount_pct, discount_amount, unit_cogs,
                CAST(unit_cogs * quantity AS DECIMAL(19,4)) AS cogs,
                CAST(gross_amount - discount_amount AS DECIMAL(19,4)) AS net_sales
         FROM priced"""),
     "products": ((), f"""
-        SELECT CAST(p_partkey AS BIGINT) AS product_key, p_brand || '|' || p_name AS sku, p_name AS product_name,
-               p_name AS model_name, CASE WHEN {_CATEGORY_KEY} IS NOT NULL THEN p_type END AS category,
-               CASE WHEN {_CATEGORY_KEY} IS NOT NULL THEN p_brand END AS subcategory,
+        SELECT CAST(p_partkey AS BIGINT) AS product_key, p_brand || ':' || p_name AS sku, p_name AS product_name,
+               p_name AS model_name, p_type AS category, p_brand AS subcategory,
                split_part(p_name, ' ', 1) AS color, left(p_type, 1) AS product_line,
                CASE WHEN p_size < 16 THEN 'L' WHEN p_size < 36 THEN 'M' WHEN p_size < 50 THEN 'H' END AS class,
                CAST(p_retailprice AS DECIMAL(19,4)) AS standard_cost,
@@ -82,16 +88,15 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM customer LEFT JOIN places ON geography_key = c_nationkey
         WHERE c_mktsegment IN ({text_list(B2B_SEGMENTS)})"""),
     "promotions": ((), f"""
-        SELECT points + 1 AS promotion_key, 'Offer ' || points || ' %' AS promotion_name,
+        SELECT CAST(rate * 1000000 AS INTEGER) + 1 AS promotion_key, printf('Offer %g %%', CAST(rate * 100 AS DOUBLE)) AS promotion_name,
                round(CAST(rate AS DOUBLE), 4) AS discount_pct,
-               CASE WHEN points = 0 THEN 'No Discount' WHEN points <= 5 THEN 'Volume Discount'
-                    WHEN points <= 8 THEN 'Seasonal Discount' ELSE '{P.new_product_type}' END AS promotion_type,
-               CASE WHEN points = 0 THEN 'No Discount' ELSE 'Reseller' END AS promotion_category,
-               CAST(points * 10 AS INTEGER) AS min_qty, CASE WHEN points <= 5 THEN 60 END AS max_qty
-        FROM (SELECT DISTINCT CAST(round(l_discount * 100) AS INTEGER) AS points, CAST(l_discount AS DECIMAL(5,2)) AS rate
-              FROM lineitem)"""),
+               CASE WHEN rate = 0 THEN 'No Discount' WHEN rate <= 0.05 THEN 'Volume Discount'
+                    WHEN rate <= 0.08 THEN 'Seasonal Discount' ELSE '{P.new_product_type}' END AS promotion_type,
+               CASE WHEN rate = 0 THEN 'No Discount' ELSE 'Reseller' END AS promotion_category,
+               CAST(rate * 1000 AS INTEGER) AS min_qty, CASE WHEN rate <= 0.05 THEN 60 END AS max_qty
+        FROM (SELECT DISTINCT CAST(l_discount AS DECIMAL(9,6)) AS rate FROM lineitem WHERE l_discount IS NOT NULL)"""),
     "fact": (("lines", "products"), """
-        SELECT lines.channel || '|' || order_number || '|' || order_line AS sales_line_id, lines.*,
+        SELECT coalesce(lines.channel, '') || '|' || order_number || '|' || order_line AS sales_line_id, lines.*,
                CAST(strftime(order_date, '%Y%m%d') AS INTEGER) AS date_key, products.sku,
                net_sales - cogs AS gross_margin, gross_amount - cogs AS margin_before_discount, cogs > net_sales AS is_below_cost
         FROM lines LEFT JOIN products USING (product_key)"""),

@@ -83,7 +83,7 @@ _CHECKS = {
     "chk_orphan_promotions": (_orphans("promotions", "promotion_key"), ("fact", "promotions")),
     "chk_channel_keys": (
         _violating(f"CASE channel WHEN '{P.b2b}' THEN NOT (reseller_key IS NOT NULL AND customer_key IS NULL)"
-                   f" WHEN '{P.b2c}' THEN NOT (customer_key IS NOT NULL AND reseller_key IS NULL) ELSE FALSE END"), ("fact",)),
+                   f" WHEN '{P.b2c}' THEN NOT (customer_key IS NOT NULL AND reseller_key IS NULL) ELSE channel IS NULL END"), ("fact",)),
     "chk_orphan_resellers_customers": (
         f"""SELECT count(*) AS violations FROM fact
             WHERE (channel = '{P.b2b}' AND NOT EXISTS (FROM resellers WHERE resellers.reseller_key = fact.reseller_key))
@@ -130,7 +130,7 @@ ORACLES["staging_row_counts"] = compose(
         for name, source in {
             "products": "FROM part",
             "subcategories": "SELECT DISTINCT p_type, p_brand FROM part",
-            "categories": "SELECT DISTINCT p_type FROM part",
+            "categories": "SELECT DISTINCT p_type FROM part WHERE p_type IS NOT NULL",
             "dates": "FROM days",
             "resellers": "FROM resellers",
             "customers": "FROM consumers",
@@ -542,11 +542,10 @@ ORACLES["note_lookups"] = compose(
     "sku_pareto", "reseller_pareto", "skus", by_subcategory=_BY_SUBCATEGORY, abc_skus=_abc("sku_pareto", "skus"),
     abc_resellers=_abc("reseller_pareto", "resellers"))
 
-# ---- through files: the same answers, with the separator in skus replaced -----------------------------------------
+# ---- through files: the same answers ------------------------------------------------------------------------------
 
-_NO_PIPE = "REPLACE (replace(sku, '|', '/') AS sku)"
-ORACLES["files_fact_sales"] = f"SELECT * {_NO_PIPE} FROM ({ORACLES['fact_sales']})"
-ORACLES["files_dim_product"] = f"SELECT * {_NO_PIPE} FROM ({ORACLES['dim_product']})"
+ORACLES["files_fact_sales"] = ORACLES["fact_sales"]
+ORACLES["files_dim_product"] = ORACLES["dim_product"]
 ORACLES["files_dim_customer"] = ORACLES["dim_customer"]
 ORACLES["files_kpi_summary"] = ORACLES["kpi_summary"]
 ORACLES["files_row_counts"] = compose(
@@ -557,7 +556,7 @@ ORACLES["files_row_counts"] = compose(
             "FactInternetSales": f"FROM lines WHERE channel = '{P.b2c}'",
             "DimProduct": "FROM part",
             "DimProductSubcategory": "SELECT DISTINCT p_type, p_brand FROM part",
-            "DimProductCategory": "SELECT DISTINCT p_type FROM part",
+            "DimProductCategory": "SELECT DISTINCT p_type FROM part WHERE p_type IS NOT NULL",
             "DimDate": "FROM days",
             "DimReseller": "FROM resellers",
             "DimCustomer": "FROM consumers",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from marginlens.operators import kpi, model, quality
 from marginlens.operators.period import sales_period
 from marginlens.params import Params
-from marginlens.sources.delimited import scan_delimited, staging
+from marginlens.sources.delimited import rejects, scan_delimited, staging, unambiguous
 from marginlens.sources.schemas import FILES, layout
 from tests.fixtures import one, rows_of
 from tests.source_files import INTERNET_SALES, RESELLER_SALES
@@ -41,12 +41,40 @@ def test_scan_keeps_text_as_it_is(spark, tmp_path):
     ]
 
 
-@pytest.mark.parametrize("bad", ["x|name|1.0\n", "1|name\n"])
-def test_scan_fails_on_a_row_that_does_not_fit(spark, tmp_path, bad):
+BAD_LINES = {
+    "1|name": "2 fields instead of 3", "1|name|1.0|more": "4 fields instead of 3", "x|name|1.0": "k is not int: x",
+    "1|name|ten": "amount is not decimal", "": None,
+}
+
+
+@pytest.mark.parametrize("bad", [line for line, reason in BAD_LINES.items() if reason])
+@pytest.mark.parametrize("use", ["collect", "count", "one column", "sum", "empty filter"])
+def test_scan_fails_on_a_line_that_does_not_fit_whatever_is_read(spark, tmp_path, bad, use):
+    path = tmp_path / "t.csv"
+    path.write_text("1|fine|1.0\n" + bad + "\n", encoding="utf-8")
+    scan = scan_delimited(spark, str(path), SCAN_SCHEMA)
+    uses = {
+        "collect": scan.collect, "count": scan.count, "one column": scan.select("name").collect,
+        "sum": scan.agg(F.sum("k")).collect, "empty filter": scan.filter("k = 1").count,
+    }
+    with pytest.raises(Exception, match="(?s)Malformed line.*t.csv: " + BAD_LINES[bad]):
+        uses[use]()
+
+
+def test_rejects_name_file_reason_and_line(spark, tmp_path):
     path = tmp_path / "t.csv"
-    path.write_text("1|fine|1.0\n" + bad, encoding="utf-8")
-    with pytest.raises(Exception, match="MALFORMED|Malformed"):
-        scan_delimited(spark, str(path), SCAN_SCHEMA).collect()
+    path.write_text("1|fine|1.0\n" + "\n".join(BAD_LINES) + "\n", encoding="utf-8")
+    found = {r["line"]: r for r in rows_of(rejects(spark, str(path), SCAN_SCHEMA))}
+    assert set(found) == {line for line, reason in BAD_LINES.items() if reason}
+    assert all(found[line]["reason"].startswith(BAD_LINES[line]) and found[line]["file"].endswith("t.csv") for line in found)
+
+
+def test_text_that_the_format_cannot_hold_is_refused(spark):
+    texts = spark.createDataFrame([("a b",), (None,), ('"q"',)], "t string")
+    assert {r[0] for r in texts.select(unambiguous(F.col("t"), "t")).collect()} == {"a b", None, '"q"'}
+    for bad in ("a|b", "a\nb", "a\rb"):
+        with pytest.raises(Exception, match="holds a separator"):
+            spark.createDataFrame([(bad,)], "t string").select(unambiguous(F.col("t"), "t")).collect()
 
 
 def test_missing_files_raise_before_any_work(spark, tmp_path):
@@ -120,7 +148,7 @@ def test_unknown_product_keeps_its_line(file_model):
 
 def test_one_pass_lines_equal_the_union_of_channel_files(small):
     """The order tables give both channels in one pass; split into channel files they unite to the same fact."""
-    lines = small.staged_lines()
+    lines = small.source.sales_lines()
     raw = {"order_number": "SalesOrderNumber", "order_line": "SalesOrderLineNumber", "product_key": "ProductKey",
            "territory_key": "SalesTerritoryKey", "promotion_key": "PromotionKey", "order_date": "OrderDate",
            "reseller_key": "ResellerKey", "customer_key": "CustomerKey", **model.LINE_MEASURES}

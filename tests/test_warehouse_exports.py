@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from marginlens.operators import quality
 from marginlens.operators.quality import QualityError
 from marginlens.plans.catalog import CATALOG, as_doubles
+from marginlens.plans.model import OrderModel
+from marginlens.plans.snapshots import Manifest, SnapshotStore
 from marginlens.plans.warehouse import REPORTS, Warehouse
 from marginlens.sources import exports
 from tests.fixtures import one, rows_of
@@ -73,11 +75,85 @@ def test_views_answer_sql(spark, store):
     assert spark.sql("SELECT count(*) FROM w_sales_period WHERE period = 'P1'").first()[0] == store.p1.count()
 
 
-def test_reconciliation_needs_the_source(spark, store):
+def test_a_reopened_warehouse_reconciles_without_its_source(spark, store, small):
     reopened = Warehouse(spark, store.path, store.params)
     assert one(reopened.query("product_version_count")) == one(store.query("product_version_count"))
+    for rule in ("chk_fact_rows_equal_staging", "chk_net_sales_reconcile_staging", "chk_cogs_reconcile_staging"):
+        assert reopened.query(rule).first()["violations"] == 0
+    assert sorted_rows(reopened.query("quality_report")) == sorted_rows(CATALOG["quality_report"](small))
+    lost = quality.reconciles(reopened.fact().filter("order_line <> 1"), reopened.source_totals("cogs"), "cogs")
+    assert lost.first()["violations"] > 0
     with pytest.raises(RuntimeError, match="source"):
-        reopened.query("chk_fact_rows_equal_staging")
+        reopened.query("staging_row_counts")
+
+
+class Broken(OrderModel):
+    """A source whose second dimension can't be computed."""
+
+    @property
+    def dims(self):
+        return {**super().dims, "product": super().dim_product.select(F.raise_error(F.lit("lost")).alias("product_key"))}
+
+
+def stored_files(path):
+    return {p: p.stat().st_mtime_ns for p in Path(path).rglob("*.parquet")}
+
+
+def test_a_build_that_breaks_off_leaves_the_snapshot_before_it(spark, small, tmp_path):
+    path = str(tmp_path / "store")
+    with pytest.raises(FileNotFoundError):
+        Warehouse(spark, path, small.params)
+    first = Warehouse.build(small, path)
+    expected, files = sorted_rows(first.query("kpi_summary")), stored_files(path)
+    with pytest.raises(Exception, match="lost"):
+        Warehouse.build(Broken(spark, small.source.base), path)
+    after = Warehouse(spark, path, small.params)
+    assert after.manifest == first.manifest and sorted_rows(after.query("kpi_summary")) == expected
+    assert stored_files(path).items() >= files.items()
+    second = Warehouse.build(small, path)
+    assert second.manifest.number > first.manifest.number + 1  # the broken build's folders are not written to again
+    assert sorted_rows(first.query("kpi_summary")) == sorted_rows(second.query("kpi_summary")) == expected
+    SnapshotStore(spark, path).prune()
+    assert sorted_rows(Warehouse(spark, path, small.params).query("kpi_summary")) == expected
+    assert {p.parent.name for p in Path(path, "tables", "dim_sku").glob("*/*.parquet")} == {f"snapshot={second.manifest.number}"}
+
+
+def test_two_writers_of_one_number_do_not_overwrite_each_other(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    store.publish(Manifest(1, tables={"t": "tables/t/snapshot=1"}))
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.publish(Manifest(1, tables={"t": "elsewhere"}))
+    assert store.read().tables == {"t": "tables/t/snapshot=1"}
+
+
+def test_adding_a_month_writes_that_month_only(spark, small, tmp_path):
+    path, month = str(tmp_path / "store"), "2000-10"
+    for name in ("region", "nation", "customer", "part", "lineitem", "orders"):
+        table = spark.read.parquet(f"{small.source.base}/{name}.parquet")
+        if name == "orders":
+            table = table.filter(F.date_format("o_orderdate", "yyyy-MM") == month)
+        elif name == "lineitem":
+            of_month = small.source.table("orders").filter(F.date_format("o_orderdate", "yyyy-MM") == month).select("o_orderkey")
+            # half of the month's lines, as a correction would have it
+            table = table.join(of_month, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").filter("l_linenumber % 2 = 1")
+        table.write.parquet(f"{tmp_path}/month/{name}.parquet")
+    first = Warehouse.build(small, path)
+    before = stored_files(f"{path}/tables/fact_sales")
+    second = Warehouse.add_months(OrderModel(spark, f"{tmp_path}/month"), path)
+    added = stored_files(f"{path}/tables/fact_sales").keys() - before.keys()
+    assert added and all(p.parent.name == f"order_month={month}" for p in added)
+    assert {p: t for p, t in stored_files(f"{path}/tables/fact_sales").items() if p in before} == before
+    in_month = F.date_format("order_date", "yyyy-MM") == month
+    expected = first.fact().filter(~in_month | (F.col("order_line") % 2 == 1))
+    reopened = Warehouse(spark, path, small.params)
+    assert reopened.fact().exceptAll(expected).count() == 0 and expected.exceptAll(reopened.fact()).count() == 0
+    assert second.manifest.months[month] == second.manifest.number and set(second.manifest.months.values()) == {1, 2}
+    for rule in ("chk_fact_rows_equal_staging", "chk_net_sales_reconcile_staging", "chk_cogs_reconcile_staging"):
+        assert reopened.query(rule).first()["violations"] == 0
+    lines = expected.count()
+    SnapshotStore(spark, path).prune()
+    assert reopened.fact().count() == lines
+    assert not list(Path(path, "tables", "fact_sales").glob(f"snapshot=1/order_month={month}/*.parquet"))
 
 
 def test_export_counts_and_files(spark, store, exported):
