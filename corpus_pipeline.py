@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marginlens.functions.staged import stage
 from marginlens.llm import bpe, langid, line_dedup, mixture, simhash
-from marginlens.llm.common import table
+from marginlens.llm.common import small_batches, table
 
 ORACLE_SQL = None
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the profiles tell; the others go."""
+    small_batches(spark)
     return langid.accepted(docs)
 
 
@@ -33,6 +34,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: fingerprints of three-word shingles within two bits."""
+    small_batches(spark)
     return simhash.first_of_each(docs, words=3)
 
 
@@ -43,6 +45,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text that they decode to."""
+    small_batches(spark)
     return bpe.round_trip(docs, VOCABULARY)
 
 

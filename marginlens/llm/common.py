@@ -55,6 +55,21 @@ def map_batches(df: DataFrame, function: Callable[[Batches], Batches], schema: s
     return df.mapInArrow(function, schema)
 
 
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has the session hand texts to Python in batches of BATCH_BYTES at most, unless a smaller bound is set.
+
+    A batch is held several times, on both sides of the pipe and by every task of an executor; jobs that carry whole rows through
+    Python and share executors with large sorts have no memory for Spark's default of 64 MB.
+    """
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    bytes_now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(setting))
+    if not 0 < bytes_now <= BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 def word_count(text: str = "text") -> Column:
     """Number of words of a text as BIGINT, 0 for null."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
