@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from marginlens.operators import bridge, discounts, kpi, model, pareto, quality, report, summary, whatif
-from marginlens.plans import files
+from marginlens.plans import files, stored
 from marginlens.plans.model import SalesModel
 
 Query = Callable[[SalesModel], DataFrame]
@@ -209,8 +209,29 @@ _FILES: dict[str, Query] = {
     "results_json_bridge": lambda m: files.json_round_trip(m, "pvm_bridge", bridge.pvm_bridge(m.compared, m.params)),
 }
 
+# The exported tables that have a query of their own, and the queries that are answered from the stored model too.
+EXPORTED = (
+    "dim_date", "dim_product", "dim_sku", "dim_territory", "dim_customer", "dim_reseller", "dim_promotion", "fact_sales",
+    "pvm_lines", "pareto_sku", "pareto_reseller", "kpi_monthly", "pvm_bridge", "kpi_by_calendar_year",
+)
+STORED = ("fact_sales", "dim_sku", "kpi_summary", "kpi_monthly", "pvm_bridge", "pvm_by_category", "pareto_sku", "quality_report")
+
+_OF_MODEL = {**_MODEL, **_QUALITY, **_KPI, **_BRIDGE, **_PARETO, **_DISCOUNTS, **_WHATIF, **_SUMMARY, **_REPORT}
+
+
+def _exported(name: str) -> Query:
+    return lambda m: files.csv_round_trip(m, name, _OF_MODEL[name](m))
+
+
+def _stored(name: str) -> Query:
+    return lambda m: stored.over_stored(m, name)
+
+
+_FILES |= {f"export_{name}": _exported(name) for name in EXPORTED}
+_STORED: dict[str, Query] = {f"stored_{name}": _stored(name) for name in STORED}
+
 CATALOG: dict[str, Query] = {
-    **_FILES, **_MODEL, **_QUALITY, **_KPI, **_BRIDGE, **_PARETO, **_DISCOUNTS, **_WHATIF, **_SUMMARY, **_REPORT,
+    **_FILES, **_STORED, **_MODEL, **_QUALITY, **_KPI, **_BRIDGE, **_PARETO, **_DISCOUNTS, **_WHATIF, **_SUMMARY, **_REPORT,
 }
 
 

@@ -66,12 +66,19 @@ def delimited_copy(m: OrderModel, names: tuple[str, ...] = FILES) -> FileModel:
 
 
 def export_reconcile(m: SalesModel) -> DataFrame:
-    """Export the fact as CSV, read it back with inferred types and compare counts and sums with the model."""
+    """Export the fact as CSV, read it back and compare counts and sums with the model."""
     folder = _fresh_folder(m, "export")
     exports.write_csv(m.fact(), f"{folder}/fact_sales")
     return exports.reconcile_export(exports.read_back_csv(m.spark, f"{folder}/fact_sales"), m.fact())
 
 
+def csv_round_trip(m: SalesModel, name: str, table: DataFrame) -> DataFrame:
+    """Export one table as CSV and read it back."""
+    folder = f"{_fresh_folder(m, 'export')}/{name}"
+    exports.write_csv(table, folder)
+    return exports.read_back_csv(m.spark, folder)
+
+
 def json_round_trip(m: SalesModel, name: str, result: DataFrame) -> DataFrame:
     """Write one result as JSON lines and read it back."""
     folder = _fresh_folder(m, "results")

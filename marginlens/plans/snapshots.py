@@ -9,10 +9,13 @@ state before it. Files are reached through Spark's own file systems, wherever th
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import SparkSession
 
+from marginlens.functions.textfile import file_system, read_text, write_text
+
 _MANIFESTS = "manifests"
 
 
@@ -34,11 +37,10 @@ class Manifest:
 class SnapshotStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._hadoop = spark._jvm.org.apache.hadoop.fs
-        self._fs = self._hadoop.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs, _ = file_system(spark, self.path)
 
     def _at(self, *parts: str):
-        return self._hadoop.Path("/".join((self.path, *parts)))
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
 
     def folders(self, *parts: str) -> list[str]:
         """Names of what lies in a folder, sorted; none for a folder that is not there."""
@@ -60,18 +62,13 @@ class SnapshotStore:
         known = self.numbers()
         if not known or number not in (None, *known):
             raise FileNotFoundError(f"no {'snapshot' if number is None else f'snapshot {number}'} in {self.path}")
-        stream = self._fs.open(self._at(_MANIFESTS, f"{known[-1] if number is None else number}.json"))
-        try:
-            return Manifest(**json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
-        finally:
-            stream.close()
+        name = f"{known[-1] if number is None else number}.json"
+        return Manifest(**json.loads(read_text(self.spark, f"{self.path}/{_MANIFESTS}/{name}")))
 
     def publish(self, manifest: Manifest) -> None:
         """Make a snapshot the current one. Fails if another writer has published its number meanwhile."""
-        draft, final = self._at(_MANIFESTS, f"_{manifest.number}.tmp"), self._at(_MANIFESTS, f"{manifest.number}.json")
-        out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps(asdict(manifest), sort_keys=True).encode()))
-        out.close()
+        draft, final = self._at(_MANIFESTS, f"_{manifest.number}-{uuid.uuid4().hex}.tmp"), self._at(_MANIFESTS, f"{manifest.number}.json")
+        write_text(self.spark, draft.toString(), json.dumps(asdict(manifest), sort_keys=True))
         if self._fs.exists(final) or not self._fs.rename(draft, final):
             raise RuntimeError(f"snapshot {manifest.number} of {self.path} was published by another writer")
 

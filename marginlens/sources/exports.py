@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import DoubleType, FloatType, StringType, StructField, StructType
 
 from marginlens.functions.exprs import money
+from marginlens.functions.textfile import read_text, write_text
 
 # The tables and pre-aggregated figures that an export consists of.
 TABLES = (
@@ -16,14 +19,49 @@ TABLES = (
 AGGREGATES = ("kpi_monthly", "pvm_bridge", "kpi_by_calendar_year")
 
 
-# Text comes back as it was: blanks kept, quotes doubled.
-_TEXT_AS_IS = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+#: Name of the schema file in the folder of an export; Spark's readers pass over names with an underscore.
+SCHEMA_FILE = "_schema.json"
+_CSV = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+# How text is written. No field holds a line break, so a file can be read in parts; NULL is an empty field.
+ESCAPES = (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"))
+EMPTY_TEXT = "\\e"
+
+
+def _is_text(field: StructField) -> bool:
+    return isinstance(field.dataType, StringType)
+
+
+def _escaped(name: str) -> Column:
+    text = F.col(name)
+    for plain, written in ESCAPES:
+        text = F.replace(text, F.lit(plain), F.lit(written))
+    return F.when(text == "", EMPTY_TEXT).otherwise(text).alias(name)
+
+
+def _unescaped(name: str) -> Column:
+    """Doubled backslashes are set apart first, so that what follows one is not taken for an escape."""
+
+    def plain(part: Column) -> Column:
+        for text, written in ESCAPES[1:]:
+            part = F.replace(part, F.lit(written), F.lit(text))
+        return part
+
+    parts = F.split(F.col(name), r"\\\\", -1)
+    text = F.array_join(F.transform(parts, plain), "\\")
+    return F.when(F.col(name) == EMPTY_TEXT, "").otherwise(text).alias(name)
 
 
 def write_csv(df: DataFrame, path: str) -> int:
-    """Write ``df`` as CSV files with a header and return its row count, measured during the same pass."""
+    """Write ``df`` as CSV files with a header and return its row count, measured during the same pass.
+
+    Backslashes and line breaks in text are escaped (``ESCAPES``), an empty text is ``EMPTY_TEXT`` and NULL an empty field. The
+    schema is written next to the data, last.
+    """
     seen = Observation("written")
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").options(**_TEXT_AS_IS).csv(path)
+    columns = [_escaped(f.name) if _is_text(f) else F.col(f.name) for f in df.schema]
+    written = df.observe(seen, F.count(F.lit(1)).alias("rows")).select(*columns)
+    written.write.mode("overwrite").options(**_CSV).csv(path)
+    write_text(df.sparkSession, f"{path}/{SCHEMA_FILE}", df.schema.json())
     return seen.get["rows"]
 
 
@@ -49,29 +87,37 @@ def without_nan(df: DataFrame) -> DataFrame:
 def write_results(results: dict[str, DataFrame], out_dir: str) -> None:
     """Every result as JSON lines ``{"result": name, "row": {...}}``, one folder per result under ``out_dir``.
 
-    NULL fields are written as null and dates in ISO form. Rows go straight from the executors to the files.
+    NULL fields are written as null and dates in ISO form. Rows go straight from the executors to the files; the schema of the
+    rows lies next to them.
     """
     for name, df in results.items():
         row = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
         line = F.concat(F.lit(f'{{"result":"{name}","row":'), row, F.lit("}"))
-        without_nan(df).select(line.alias("value")).write.mode("overwrite").text(f"{out_dir.rstrip('/')}/result={name}")
+        folder = f"{out_dir.rstrip('/')}/result={name}"
+        without_nan(df).select(line.alias("value")).write.mode("overwrite").text(folder)
+        write_text(df.sparkSession, f"{folder}/{SCHEMA_FILE}", df.schema.json())
 
 
 def read_results(spark: SparkSession, out_dir: str, result: str) -> DataFrame:
-    """One result of ``write_results`` as a table with inferred types; reads only that result's folder."""
-    return spark.read.json(f"{out_dir.rstrip('/')}/result={result}").select("row.*")
+    """One result of ``write_results`` as it was; reads only that result's folder, once."""
+    folder = f"{out_dir.rstrip('/')}/result={result}"
+    row = StructType.fromJson(json.loads(read_text(spark, f"{folder}/{SCHEMA_FILE}")))
+    lines = StructType([StructField("result", StringType()), StructField("row", row)])
+    return spark.read.schema(lines).option("mode", "FAILFAST").json(folder).select("row.*")
 
 
 def read_back_csv(spark: SparkSession, path: str) -> DataFrame:
-    """An exported table with header and inferred types, for reconciliation with its source."""
-    return spark.read.options(**_TEXT_AS_IS, multiLine="true", inferSchema="true").csv(path)
+    """An exported table as it was: the schema comes from its file, text is unescaped, and large files are read in parts.
 
+    A field that does not fit the schema fails the job.
+    """
+    schema = StructType.fromJson(json.loads(read_text(spark, f"{path}/{SCHEMA_FILE}")))
+    read = spark.read.schema(schema).options(**_CSV, mode="FAILFAST", enforceSchema="false").csv(path)
+    return read.select(*[_unescaped(f.name) if _is_text(f) else F.col(f.name) for f in schema])
 
-def reconcile_export(exported: DataFrame, fact: DataFrame) -> DataFrame:
-    """Row count and money sums of both sides in one row per side.
 
-    Inferred types are DOUBLE; each amount goes back to DECIMAL before it is summed, so equal files give equal sums.
-    """
+def reconcile_export(exported: DataFrame, fact: DataFrame) -> DataFrame:
+    """Row count and money sums of both sides in one row per side."""
 
     def side(name: str, df: DataFrame) -> DataFrame:
         return df.agg(

@@ -570,4 +570,14 @@ ORACLES["export_reconcile"] = compose(
     f"""SELECT side, count(*) AS rows, {dbl('sum(net_sales)')} AS net_sales, {dbl('sum(cogs)')} AS cogs
         FROM fact, (VALUES ('export'), ('model')) AS sides(side) GROUP BY side""", "fact")
 ORACLES["results_json_bridge"] = compose(
-    "SELECT step, CAST(ord AS BIGINT) AS ord, value FROM bridge", "effects", bridge=_BRIDGE)
+    "SELECT step, ord, value FROM bridge", "effects", bridge=_BRIDGE)
+
+# ---- through an exported file, and from the stored model: the same answers -----------------------------------------
+
+for _name in (
+    "dim_date", "dim_product", "dim_sku", "dim_territory", "dim_customer", "dim_reseller", "dim_promotion", "fact_sales",
+    "pvm_lines", "pareto_sku", "pareto_reseller", "kpi_monthly", "pvm_bridge", "kpi_by_calendar_year",
+):
+    ORACLES[f"export_{_name}"] = ORACLES[_name]
+for _name in ("fact_sales", "dim_sku", "kpi_summary", "kpi_monthly", "pvm_bridge", "pvm_by_category", "pareto_sku", "quality_report"):
+    ORACLES[f"stored_{_name}"] = ORACLES[_name]

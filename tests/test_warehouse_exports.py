@@ -162,8 +162,11 @@ def test_export_counts_and_files(spark, store, exported):
     assert counts["fact_sales"] == store.fact().count() and counts["dim_sku"] == store.dim_sku.count()
     for name in (*exports.TABLES, *exports.AGGREGATES):
         assert list(Path(folder, name).glob("*.csv")), name
-    headers = {name: exports.read_back_csv(spark, f"{folder}/{name}") for name in exports.TABLES}
-    assert quality.personal_columns(headers) == []
+    back = {name: exports.read_back_csv(spark, f"{folder}/{name}") for name in (*exports.TABLES, *exports.AGGREGATES)}
+    assert quality.personal_columns(back) == []
+    for name, table in back.items():
+        stored = store.query(name) if name in exports.AGGREGATES else store.fact() if name == "fact_sales" else store.table(name)
+        assert table.dtypes == stored.dtypes and sorted_rows(table) == sorted_rows(stored), name
     assert not Path(folder, "dim_geography").exists()
 
 
@@ -196,8 +199,8 @@ def test_results_as_json(spark, store, tmp_path):
             for line in file.read_text(encoding="utf-8").splitlines():
                 document = json.loads(line)
                 assert document["result"] == name and set(document["row"]) == columns
-    bridge = exports.read_results(spark, str(tmp_path / "results"), "pvm_bridge")
-    assert [r["value"] for r in bridge.orderBy("ord").collect()] == [r["value"] for r in rows_of(store.query("pvm_bridge"))]
+        back, result = exports.read_results(spark, str(tmp_path / "results"), name), exports.without_nan(store.query(name))
+        assert back.dtypes == result.dtypes and sorted_rows(back) == sorted_rows(result), name
 
 
 def test_json_has_null_for_nan_and_iso_dates(spark, tmp_path):
@@ -207,12 +210,27 @@ def test_json_has_null_for_nan_and_iso_dates(spark, tmp_path):
     assert json.loads(line)["row"] == {"x": None, "y": None, "d": "2020-01-31", "m": 1.5}
 
 
-def test_exported_text_comes_back_as_it_was(spark, tmp_path):
-    from marginlens.sources import exports
+ODD_TEXTS = [
+    "  spaced  ", 'a "quoted" word', "a,b", "two\nlines", "\r\n", "back\\slash", "\\n", "\\\\n", "\\\n\\", "\\e", "\\\\e", "\\", "", None, " ", '"', '""', "é\u2028x",
+]
+
 
-    texts = ["  spaced  ", 'a "quoted" word', "a,b", "two\nlines", "back\\slash", "", None]
-    table = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+def test_exported_text_comes_back_as_it_was(spark, tmp_path):
+    table = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "k int, t string")
     exports.write_csv(table, f"{tmp_path}/texts")
     back = exports.read_back_csv(spark, f"{tmp_path}/texts")
-    assert sorted((r.k, r.t) for r in back.collect() if r.t) == sorted((k, t) for k, t in enumerate(texts) if t)
-    assert back.count() == len(texts)
+    assert sorted(map(tuple, back.collect())) == list(enumerate(ODD_TEXTS)) and back.dtypes == table.dtypes
+    written = [line for p in Path(tmp_path, "texts").glob("*.csv") for line in p.read_text(encoding="utf-8").split("\n")[1:-1]]
+    assert len(written) == len(ODD_TEXTS)  # one line a row
+
+
+def test_large_exports_are_read_in_parts_and_without_a_pass_for_types(spark, tmp_path):
+    exports.write_csv(spark.range(60_000).selectExpr("id", "repeat('x,', 20) AS t").coalesce(1), f"{tmp_path}/large")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512k")
+    try:
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+        back = exports.read_back_csv(spark, f"{tmp_path}/large")
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == jobs
+        assert back.rdd.getNumPartitions() > 4 and back.filter("length(t) = 40").count() == 60_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
