@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,17 @@ from marginlens.params import Params
 _MEASURES = ("gross_amount", "discount_amount", "net_sales", "margin_before_discount", "gross_margin")
 
 
-def disc_by_promotion(p1: DataFrame, promotions: DataFrame, params: Params) -> DataFrame:
+#: The promotion dimension, or what names promotion keys without one: it adds promotion_type and promotion_name to a frame.
+Promotions = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def _named(per_key: DataFrame, promotions: Promotions, how: str) -> DataFrame:
+    if not isinstance(promotions, DataFrame):
+        return promotions(per_key)
+    return per_key.join(promotions.select("promotion_key", "promotion_type", "promotion_name"), "promotion_key", how)
+
+
+def disc_by_promotion(p1: DataFrame, promotions: Promotions, params: Params) -> DataFrame:
     """Promotions other than "no promotion", largest discount first."""
     measures = (*_MEASURES, "quantity")
     per_key = (
@@ -21,7 +32,7 @@ def disc_by_promotion(p1: DataFrame, promotions: DataFrame, params: Params) -> D
         .groupBy("promotion_key")
         .agg(F.count(F.lit(1)).alias("n"), *sums(*measures))
     )
-    named = per_key.join(promotions.select("promotion_key", "promotion_type", "promotion_name"), "promotion_key")
+    named = _named(per_key, promotions, "inner")
     return (
         named.groupBy("promotion_type", "promotion_name")
         .agg(F.sum("n").alias("lines"), *[F.sum(f"sum_{m}").alias(f"sum_{m}") for m in measures])
@@ -126,16 +137,15 @@ def disc_lines_p1(p1: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def new_product_promos(p1: DataFrame, promotions: DataFrame, params: Params) -> DataFrame:
+def new_product_promos(p1: DataFrame, promotions: Promotions, params: Params) -> DataFrame:
     """Discounts of the new-product promotions and their share of all P1 discounts.
 
     The share divides the rounded figures of the promotion table and the summary. Both come from one aggregation: lines per
     promotion key, left-joined so that lines without a promotion row still count in the total.
     """
     per_key = p1.groupBy("promotion_key").agg(*sums("discount_amount", "margin_before_discount", "gross_margin"))
-    kinds = promotions.select("promotion_key", "promotion_type", "promotion_name")
     per_promotion = (
-        per_key.join(kinds, "promotion_key", "left")
+        _named(per_key, promotions, "left")
         .withColumn(
             "is_new",
             (F.col("promotion_key") != params.no_promotion_key) & (F.col("promotion_type") == params.new_product_type),

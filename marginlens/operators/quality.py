@@ -1,8 +1,10 @@
 """Data-quality rules. Each rule yields one row ``violations``; zero means clean.
 
 Orphan rules count the fact per key first and then look for keys without a dimension row, so the join never carries
-order lines and a key that owns a large share of the fact is one row by the time it is shuffled. ``quality_report`` runs
-all rules in three passes over the fact: one for row-local rules and totals, one for key usage, one for the line grain.
+order lines and a key that owns a large share of the fact is one row by the time it is shuffled.
+
+What a set of lines contributes to the report is a state: totals and rule counts, lines per key, lines and distinct ids.
+States of disjoint sets are merged by adding, so a stored fact keeps one per month and an added month is audited alone.
 """
 
 from __future__ import annotations
@@ -157,39 +159,72 @@ _USAGE_SETS = (
 )
 
 
-def _key_usage(fact: DataFrame) -> DataFrame:
-    """Lines per key for six groupings in one pass, with the index of the grouping each row belongs to."""
-    columns = list(dict.fromkeys(c for keys in _USAGE_SETS for c in keys))
-    counted = fact.groupingSets([[F.col(k) for k in keys] for keys in _USAGE_SETS], *[F.col(c) for c in columns]).agg(
+def usage_state(lines: DataFrame, *by: str) -> DataFrame:
+    """Lines per key for six groupings in one pass, with the index of the grouping each row belongs to, per ``by``."""
+    columns = [*by, *dict.fromkeys(c for keys in _USAGE_SETS for c in keys)]
+    counted = lines.groupingSets([[F.col(k) for k in (*by, *keys)] for keys in _USAGE_SETS], *[F.col(c) for c in columns]).agg(
         F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("lines")
     )
     which = F.lit(None).cast("int")
     for index, keys in enumerate(_USAGE_SETS):
         # grouping_id has a 1 bit for every column that a set leaves out, first column in the highest bit
-        gid = sum((c not in keys) << (len(columns) - 1 - i) for i, c in enumerate(columns))
+        gid = sum((c not in (*by, *keys)) << (len(columns) - 1 - i) for i, c in enumerate(columns))
         which = F.when(F.col("gid") == gid, index).otherwise(which)
     return counted.withColumn("usage_set", which).drop("gid")
 
 
-def _totals_and_rules(fact: DataFrame, source_totals: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """One row: violations of every line rule and the absolute differences to the source's totals, from one pass over the fact."""
-    of_fact = fact.agg(*map(_total, _TOTALS), *[F.count_if(broken).alias(rule) for rule, broken in rules.items()])
-    sides = of_fact.unionByName(source_totals.select(*[(-F.col(n)).alias(n) for n in _TOTALS]), allowMissingColumns=True)
+def rule_state(lines: DataFrame, params: Params, *by: str) -> DataFrame:
+    """Totals and violations of every line rule, per ``by``. States of disjoint lines add up."""
+    rules = line_rules(params)
+    return lines.groupBy(*by).agg(*map(_total, _TOTALS), *[F.count_if(broken).alias(rule) for rule, broken in rules.items()])
+
+
+def grain_state(lines: DataFrame, month: str) -> DataFrame:
+    """(month, lines, ids): lines and distinct line ids of each month."""
+    return lines.groupBy(month).agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("sales_line_id").alias("ids"))
+
+
+def grain_over_months(states: DataFrame, lines: DataFrame, month: str) -> DataFrame:
+    """``grain_unique`` from the states of the months: repeats inside months, and ids that stand in several months.
+
+    An id can only stand in several months if its order does, so ids are looked at for such orders alone; nearly always there
+    are none, and what is read of the lines is the order number.
+    """
+    in_month = F.coalesce(F.col(month), F.lit(""))
+    orders = lines.groupBy("order_number").agg(F.min(in_month).alias("first"), F.max(in_month).alias("last"))
+    spread = orders.filter("first <> last AND order_number IS NOT NULL").select("order_number")
+    ids = lines.join(spread, "order_number", "left_semi").filter("sales_line_id IS NOT NULL")
+    again = ids.groupBy("sales_line_id").agg((F.count_distinct(in_month) - 1).alias("n"))
+    both = states.select((F.col("lines") - F.col("ids")).alias("n")).unionByName(again.select("n"))
+    return both.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("violations"))
+
+
+def _with_gaps(of_fact: DataFrame, source_totals: DataFrame, params: Params) -> DataFrame:
+    """One row: violations of every line rule and the absolute differences to the source's totals, from states of the fact."""
+    rules = line_rules(params)
+    kept = of_fact.select(*_TOTALS, *rules)
+    sides = kept.unionByName(source_totals.select(*[(-F.col(n)).alias(n) for n in _TOTALS]), allowMissingColumns=True)
     gaps = [F.abs(F.coalesce(F.sum(n), F.lit(0))).alias(n) for n in _TOTALS]
-    return sides.agg(*gaps, *[F.sum(rule).alias(rule) for rule in rules])
+    return sides.agg(*gaps, *[F.coalesce(F.sum(rule), F.lit(0)).alias(rule) for rule in rules])
 
 
-def quality_report(
-    fact: DataFrame, source_totals: DataFrame, dims: dict[str, DataFrame], products: DataFrame, params: Params, stored: bool = False
-) -> DataFrame:
+def quality_report(fact: DataFrame, source_totals: DataFrame, dims: dict[str, DataFrame], products: DataFrame, params: Params) -> DataFrame:
     """One row per rule: ``check``, ``violations`` (double). ``source_totals`` has rows, net_sales and cogs.
 
-    A fact that is not ``stored`` is joined once and written with the columns that rules read; every pass is over that.
+    The fact is joined once and written with the columns that rules read; every pass is over that.
     """
+    lines = stage(fact.select(*_RULE_COLUMNS), "audited-lines")
+    usage = stage(usage_state(lines), "key-usage")
+    return report_from_states(rule_state(lines, params), usage, grain_unique(lines), source_totals, dims, products, params)
+
+
+def report_from_states(
+    rules_of: DataFrame, usage: DataFrame, grain: DataFrame, source_totals: DataFrame, dims: dict[str, DataFrame],
+    products: DataFrame, params: Params,
+) -> DataFrame:
+    """``quality_report`` from the states of one or more disjoint sets of lines and the violations of the grain."""
     rules = line_rules(params)
-    fact = fact if stored else stage(fact.select(*_RULE_COLUMNS), "audited-lines")
-    local = _totals_and_rules(fact, source_totals, rules)
-    usage = stage(_key_usage(fact), "key-usage")
+    local = _with_gaps(rules_of, source_totals, params)
 
     def used(index: int) -> DataFrame:
         return usage.filter(F.col("usage_set") == index)
@@ -217,7 +252,7 @@ def quality_report(
                 named("chk_cogs_reconcile_staging", F.col("cogs")),
             )
         ),
-        single("chk_fact_grain_unique", grain_unique(fact)),
+        single("chk_fact_grain_unique", grain),
         single("chk_orphan_sku_category", _lines_total(_without_category(used(0), dims["sku"]))),
         single("chk_orphan_dates", _lines_total(_without_match(used(1), dims["date"], "date_key"))),
         single("chk_orphan_territories", _lines_total(_without_match(used(2), dims["territory"], "territory_key"))),

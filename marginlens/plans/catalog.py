@@ -48,7 +48,7 @@ def _line_rule(rule: str) -> Query:
 
 _QUALITY: dict[str, Query] = {
     "chk_fact_rows_equal_staging": lambda m: quality.reconciles(m.fact(), m.source_totals("rows"), "rows"),
-    "chk_fact_grain_unique": lambda m: quality.grain_unique(m.fact()),
+    "chk_fact_grain_unique": lambda m: m.grain(),
     "chk_net_sales_reconcile_staging": lambda m: quality.reconciles(m.fact(), m.source_totals("net_sales"), "net_sales"),
     "chk_cogs_reconcile_staging": lambda m: quality.reconciles(m.fact(), m.source_totals("cogs"), "cogs"),
     "chk_orphan_products": _line_rule("chk_orphan_products"),
@@ -65,9 +65,7 @@ _QUALITY: dict[str, Query] = {
     "chk_positive_quantities_and_costs": _line_rule("chk_positive_quantities_and_costs"),
     "chk_sku_has_unique_category": lambda m: quality.sku_has_unique_category(m.dim_product),
     "info_period_coverage": lambda m: quality.period_coverage(m.bare_lines()),
-    "quality_report": lambda m: quality.quality_report(
-        m.fact(), m.source_totals("rows", "net_sales", "cogs"), m.dims, m.dim_product, m.params, m.stored
-    ),
+    "quality_report": lambda m: m.quality_report(),
     "fact_margin_discount_identity": lambda m: quality.margin_discount_identity(m.fact(), m.params),
     "period_month_coverage": lambda m: quality.period_month_coverage(m.bare_period),
     "months_missing_a_channel": lambda m: quality.months_missing_a_channel(m.bare_period),
@@ -125,13 +123,13 @@ _PARETO: dict[str, Query] = {
 }
 
 _DISCOUNTS: dict[str, Query] = {
-    "disc_by_promotion": lambda m: discounts.disc_by_promotion(m.p1, m.dim_promotion, m.params),
+    "disc_by_promotion": lambda m: discounts.disc_by_promotion(m.p1, m.promotion_names, m.params),
     "disc_depth_buckets": lambda m: discounts.disc_depth_buckets(m.p1, m.params),
     "disc_depth_buckets_fine": lambda m: discounts.disc_depth_buckets(m.p1, m.params, FINE_CUTS),
     "disc_turning_lines_negative": lambda m: discounts.disc_turning_lines_negative(m.p1, m.params),
     "disc_summary": lambda m: discounts.disc_summary(m.p1, m.params),
     "disc_lines_p1": lambda m: discounts.disc_lines_p1(m.p1, m.params),
-    "new_product_promos": lambda m: discounts.new_product_promos(m.p1, m.dim_promotion, m.params),
+    "new_product_promos": lambda m: discounts.new_product_promos(m.p1, m.promotion_names, m.params),
     "already_below_cost": lambda m: discounts.already_below_cost(m.p1, m.params),
 }
 
@@ -187,7 +185,7 @@ _REPORT: dict[str, Query] = {
     "subcategory_pivot_top10": lambda m: report.subcategory_pivot_top(kpi.kpi_by_subcategory(m.p1, m.skus("category", "subcategory")), m.params),
     "monthly_window": lambda m: report.monthly_window(kpi.kpi_monthly(m.reported_months, m.dim_date), m.params),
     "worst_month": lambda m: report.worst_month(kpi.kpi_monthly(m.reported_months, m.dim_date), m.params),
-    "promo_top6": lambda m: report.promo_top(discounts.disc_by_promotion(m.p1, m.dim_promotion, m.params)),
+    "promo_top6": lambda m: report.promo_top(discounts.disc_by_promotion(m.p1, m.promotion_names, m.params)),
     "worst_cost_increase": lambda m: report.worst_cost_increase(bridge.pvm_top_cost_increases(m.compared, m.skus("product_name"))),
     "note_lookups": lambda m: report.note_lookups(
         kpi.kpi_by_subcategory(m.p1, m.skus("category", "subcategory")),

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginlens.operators import bridge, model, pareto, period
+from marginlens.operators import bridge, discounts, model, pareto, period, quality
 from marginlens.params import Params
 from marginlens.sources.order_tables import OrderTables
 
@@ -23,8 +23,6 @@ class SalesModel:
 
     spark: SparkSession
     params: Params
-    #: Whether the fact is read as it is, without joins.
-    stored = False
 
     # ---- supplied by the source
 
@@ -50,6 +48,14 @@ class SalesModel:
 
     # ---- shared
 
+    def grain(self) -> DataFrame:
+        """Lines whose id occurs before."""
+        return quality.grain_unique(self.fact())
+
+    def quality_report(self) -> DataFrame:
+        totals = self.source_totals("rows", "net_sales", "cogs")
+        return quality.quality_report(self.fact(), totals, self.dims, self.dim_product, self.params)
+
     def create_views(self, prefix: str = "") -> list[str]:
         """Register the tables of the model as temporary views for ad-hoc SQL; returns their names.
 
@@ -118,6 +124,11 @@ class SalesModel:
             "channel": self.dim_channel,
         }
 
+    @property
+    def promotion_names(self) -> discounts.Promotions:
+        """What names the promotions of lines."""
+        return self.dim_promotion
+
     @cached_property
     def dim_sku(self) -> DataFrame:
         return model.dim_sku(self.dim_product)
@@ -229,6 +240,10 @@ class OrderModel(SalesModel):
     def dim_promotion(self) -> DataFrame:
         return model.dim_promotion(self.source.promotions())
 
+    @property
+    def promotion_names(self) -> discounts.Promotions:
+        return self.source.name_promotions
+
     def staging_tables(self) -> dict[str, DataFrame]:
         s = self.source
         return {

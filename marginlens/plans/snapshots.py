@@ -79,12 +79,12 @@ class SnapshotStore:
         """
         known = self.numbers()
         kept = [self.read(n) for n in known[-keep:]]
-        used = {folder for m in kept for folder in m.tables.values()} | {month_folder(month, n) for m in kept for month, n in m.months.items()}
+        used = {folder for m in kept for folder in m.tables.values()} | {month_folder(table, month, n) for m in kept for month, n in m.months.items() for table in MONTHLY}
         dropped = []
         for table in self.folders("tables") if kept else []:
             for snapshot in self.folders("tables", table):
                 place = f"tables/{table}/{snapshot}"
-                inside = [f"{place}/{name}" for name in self.folders(*place.split("/"))] if table == FACT else [place]
+                inside = [f"{place}/{name}" for name in self.folders(*place.split("/"))] if table in MONTHLY else [place]
                 if int(snapshot.partition("=")[2]) <= known[-1]:
                     dropped += [p for p in inside if p not in used and not p.rpartition("/")[2].startswith("_")]
         for n in known[:-keep]:
@@ -95,6 +95,8 @@ class SnapshotStore:
 
 
 FACT = "fact_sales"
+#: Tables that are written by month: the fact, and what each of its months contributes to the quality report.
+MONTHLY = (FACT, "audit_rules", "audit_usage", "audit_grain")
 MONTH_FOLDER = "order_month="
 
 
@@ -102,5 +104,5 @@ def table_folder(table: str, number: int) -> str:
     return f"tables/{table}/snapshot={number}"
 
 
-def month_folder(month: str, number: int) -> str:
-    return f"{table_folder(FACT, number)}/{MONTH_FOLDER}{month}"
+def month_folder(table: str, month: str, number: int) -> str:
+    return f"{table_folder(table, number)}/{MONTH_FOLDER}{month}"

@@ -21,7 +21,7 @@ from marginlens.operators.period import MONTH_PARTITION
 from marginlens.params import Params
 from marginlens.plans import catalog
 from marginlens.plans.model import SalesModel, summed_control
-from marginlens.plans.snapshots import FACT, MONTH_FOLDER, Manifest, SnapshotStore, month_folder, table_folder
+from marginlens.plans.snapshots import FACT, MONTH_FOLDER, MONTHLY, Manifest, SnapshotStore, month_folder, table_folder
 from marginlens.sources import exports
 
 DIMENSIONS = ("date", "product", "sku", "territory", "geography", "customer", "reseller", "promotion", "channel")
@@ -44,8 +44,6 @@ NO_MONTH = "__HIVE_DEFAULT_PARTITION__"
 class Warehouse(SalesModel):
     """Open with ``Warehouse(spark, path, params)`` or create with ``Warehouse.build``."""
 
-    stored = True
-
     def __init__(
         self, spark: SparkSession, path: str, params: Params, source: SalesModel | None = None, manifest: Manifest | None = None
     ):
@@ -91,6 +89,10 @@ class Warehouse(SalesModel):
         written = [n.removeprefix(MONTH_FOLDER) for n in store.folders(*table_folder(FACT, number).split("/")) if n.startswith(MONTH_FOLDER)]
         manifest.months = months | {month: number for month in written}
         manifest.control = control | counted
+        month_lines = source.spark.read.schema(StructType([*lines.schema])).parquet(f"{path}/{manifest.tables[FACT]}")
+        write(quality.rule_state(month_lines, source.params, MONTH_PARTITION), "audit_rules", MONTH_PARTITION)
+        write(quality.usage_state(month_lines, MONTH_PARTITION), "audit_usage", MONTH_PARTITION)
+        write(quality.grain_state(month_lines, MONTH_PARTITION), "audit_grain", MONTH_PARTITION)
         for name, dimension in source.dims.items():
             write(dimension, f"dim_{name}")
         stored = cls(source.spark, path, source.params, source, manifest)
@@ -106,19 +108,19 @@ class Warehouse(SalesModel):
         """Scan of a stored table. The files are listed once per warehouse, not once per query."""
         if name not in self._tables:
             schema = StructType.fromJson(json.loads(self.manifest.schemas[name]))
-            if name == FACT:
-                self._tables[name] = self._months(schema)
+            if name in MONTHLY:
+                self._tables[name] = self._months(name, schema)
             else:
                 self._tables[name] = self.spark.read.schema(schema).parquet(f"{self.path}/{self.manifest.tables[name]}")
         return self._tables[name]
 
-    def _months(self, schema: StructType) -> DataFrame:
+    def _months(self, name: str, schema: StructType) -> DataFrame:
         """The month folders that the manifest names, of whichever snapshots wrote them."""
-        folders = [f"{self.path}/{month_folder(month, number)}" for month, number in sorted(self.manifest.months.items())]
+        folders = [f"{self.path}/{month_folder(name, month, number)}" for month, number in sorted(self.manifest.months.items())]
         with_month = StructType([*schema, StructField(MONTH_PARTITION, StringType())])
         if not folders:
             return self.spark.createDataFrame([], with_month)
-        return self.spark.read.schema(with_month).option("basePath", f"{self.path}/tables/{FACT}").parquet(*folders)
+        return self.spark.read.schema(with_month).option("basePath", f"{self.path}/tables/{name}").parquet(*folders)
 
     # ---- SalesModel
 
@@ -138,6 +140,16 @@ class Warehouse(SalesModel):
     def source_totals(self, *names: str) -> DataFrame:
         return summed_control(self.control_totals(), *names)
 
+    def grain(self) -> DataFrame:
+        return quality.grain_over_months(self.table("audit_grain"), self.table(FACT), MONTH_PARTITION)
+
+    def quality_report(self) -> DataFrame:
+        """From the states of the months, which were counted when each was written."""
+        return quality.report_from_states(
+            self.table("audit_rules"), self.table("audit_usage"), self.grain(), self.source_totals("rows", "net_sales", "cogs"),
+            self.dims, self.dim_product, self.params,
+        )
+
     def staging_tables(self) -> dict[str, DataFrame]:
         if self.source is None:
             raise RuntimeError("staging tables belong to the source this warehouse was built from")

@@ -292,19 +292,30 @@ class OrderTables:
     def promotions(self) -> DataFrame:
         rates = self.table("lineitem").select(_rate().alias("rate")).filter("rate IS NOT NULL").distinct()
         rate = F.col("rate")
-        points = F.regexp_replace((rate * 100).cast("decimal(9,4)").cast("string"), r"\.?0+$", "")
-        kind = (
-            F.when(rate == 0, "No Discount")
-            .when(rate <= dec(Decimal("0.05")), "Volume Discount")
-            .when(rate <= dec(Decimal("0.08")), "Seasonal Discount")
-            .otherwise(self.params.new_product_type)
-        )
         return rates.select(
             _promotion_key(rate).cast("string").alias("PromotionKey"),
-            F.concat(F.lit("Offer "), points, F.lit(" %")).alias("EnglishPromotionName"),
+            self._promotion_name(rate).alias("EnglishPromotionName"),
             rate.cast("string").alias("DiscountPct"),
-            kind.alias("EnglishPromotionType"),
+            self._promotion_type(rate).alias("EnglishPromotionType"),
             F.when(rate == 0, "No Discount").otherwise("Reseller").alias("EnglishPromotionCategory"),
             (rate * 1000).cast("int").cast("string").alias("MinQty"),
             F.when(rate > dec(Decimal("0.05")), "open").otherwise("60").alias("MaxQty"),
         )
+
+    def name_promotions(self, keyed: DataFrame) -> DataFrame:
+        """Adds type and name to promotion keys. Both follow from the rate in the key, so order lines are not read for them."""
+        rate = ((F.col("promotion_key") - 1).cast("decimal(10,0)") * dec(Decimal("0.000001"))).cast(RATE)
+        return keyed.withColumns({"promotion_type": self._promotion_type(rate), "promotion_name": self._promotion_name(rate)})
+
+    def _promotion_type(self, rate: Column) -> Column:
+        return (
+            F.when(rate == 0, "No Discount")
+            .when(rate <= dec(Decimal("0.05")), "Volume Discount")
+            .when(rate <= dec(Decimal("0.08")), "Seasonal Discount")
+            .when(rate.isNotNull(), self.params.new_product_type)
+        )
+
+    @staticmethod
+    def _promotion_name(rate: Column) -> Column:
+        points = F.regexp_replace((rate * 100).cast("decimal(9,4)").cast("string"), r"\.?0+$", "")
+        return F.concat(F.lit("Offer "), points, F.lit(" %"))

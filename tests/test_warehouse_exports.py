@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import re
 from pathlib import Path
 
 import pytest
@@ -10,7 +11,7 @@ from marginlens.operators import quality
 from marginlens.operators.quality import QualityError
 from marginlens.plans.catalog import CATALOG, as_doubles
 from marginlens.plans.model import OrderModel
-from marginlens.plans.snapshots import Manifest, SnapshotStore
+from marginlens.plans.snapshots import MONTHLY, Manifest, SnapshotStore
 from marginlens.plans.warehouse import REPORTS, Warehouse
 from marginlens.sources import exports
 from tests.fixtures import one, rows_of
@@ -138,11 +139,13 @@ def test_adding_a_month_writes_that_month_only(spark, small, tmp_path):
             table = table.join(of_month, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").filter("l_linenumber % 2 = 1")
         table.write.parquet(f"{tmp_path}/month/{name}.parquet")
     first = Warehouse.build(small, path)
-    before = stored_files(f"{path}/tables/fact_sales")
+    before = {table: stored_files(f"{path}/tables/{table}") for table in MONTHLY}
     second = Warehouse.add_months(OrderModel(spark, f"{tmp_path}/month"), path)
-    added = stored_files(f"{path}/tables/fact_sales").keys() - before.keys()
-    assert added and all(p.parent.name == f"order_month={month}" for p in added)
-    assert {p: t for p, t in stored_files(f"{path}/tables/fact_sales").items() if p in before} == before
+    for table, files in before.items():
+        after = stored_files(f"{path}/tables/{table}")
+        added = after.keys() - files.keys()
+        assert added and all(p.parent.name == f"order_month={month}" for p in added), table
+        assert {p: t for p, t in after.items() if p in files} == files
     in_month = F.date_format("order_date", "yyyy-MM") == month
     expected = first.fact().filter(~in_month | (F.col("order_line") % 2 == 1))
     reopened = Warehouse(spark, path, small.params)
@@ -150,6 +153,8 @@ def test_adding_a_month_writes_that_month_only(spark, small, tmp_path):
     assert second.manifest.months[month] == second.manifest.number and set(second.manifest.months.values()) == {1, 2}
     for rule in ("chk_fact_rows_equal_staging", "chk_net_sales_reconcile_staging", "chk_cogs_reconcile_staging"):
         assert reopened.query(rule).first()["violations"] == 0
+    m, totals = reopened, reopened.source_totals("rows", "net_sales", "cogs")
+    assert sorted_rows(m.quality_report()) == sorted_rows(quality.quality_report(m.fact(), totals, m.dims, m.dim_product, m.params))
     lines = expected.count()
     SnapshotStore(spark, path).prune()
     assert reopened.fact().count() == lines
@@ -234,3 +239,19 @@ def test_large_exports_are_read_in_parts_and_without_a_pass_for_types(spark, tmp
         assert back.rdd.getNumPartitions() > 4 and back.filter("length(t) = 40").count() == 60_000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_grain_over_months_counts_what_one_pass_counts(spark):
+    ids = [("a1", "a", "m1"), ("a1", "a", "m1"), ("a2", "a", "m1"), ("a2", "a", "m2"), ("a2", "a", None), ("b1", "b", "m2"),
+           (None, None, "m1"), (None, None, "m3"), ("c1", "c", None), ("c1", "c", "m3"), ("c2", "c", "m3")]
+    lines = spark.createDataFrame(ids, "sales_line_id string, order_number string, month string")
+    expected = quality.grain_unique(lines).first()["violations"]
+    assert quality.grain_over_months(quality.grain_state(lines, "month"), lines, "month").first()["violations"] == expected == 6
+    none = lines.limit(0)
+    assert quality.grain_over_months(quality.grain_state(none, "month"), none, "month").first()["violations"] == 0
+
+
+def test_the_stored_report_reads_no_measures(store):
+    plan = store.quality_report()._jdf.queryExecution().executedPlan().toString()
+    scans = [line.partition("ReadSchema: ")[2] for line in plan.splitlines() if "FileScan" in line and "/tables/fact_sales" in line]
+    assert scans and all(set(re.findall(r"(\w+):", scan)) <= {"sales_line_id", "order_number"} for scan in scans)
