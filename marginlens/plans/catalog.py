@@ -201,6 +201,10 @@ _FILES: dict[str, Query] = {
     "files_fact_sales": lambda m: files.delimited_copy(m, files.SALES_FILES).fact(),
     "files_dim_product": lambda m: files.delimited_copy(m, files.PRODUCT_FILES).dim_product,
     "files_dim_customer": lambda m: files.delimited_copy(m, files.CUSTOMER_FILES).dim_customer,
+    "files_dim_reseller": lambda m: files.delimited_copy(m, files.RESELLER_FILES).dim_reseller,
+    "files_dim_territory": lambda m: files.delimited_copy(m, ("DimSalesTerritory",)).dim_territory,
+    "files_dim_promotion": lambda m: files.delimited_copy(m, ("DimPromotion",)).dim_promotion,
+    "files_dim_date": lambda m: files.delimited_copy(m, ("DimDate",)).dim_date,
     "files_kpi_summary": lambda m: kpi.kpi_summary(files.delimited_copy(m, files.SALES_FILES).sales_period),
     "files_row_counts": lambda m: quality.row_counts(files.delimited_copy(m).staging_tables()),
     "export_reconcile": files.export_reconcile,
@@ -225,6 +229,7 @@ def _stored(name: str) -> Query:
     return lambda m: stored.over_stored(m, name)
 
 
+_FILES["results_json"] = stored.every_result
 _FILES |= {f"export_{name}": _exported(name) for name in EXPORTED}
 _STORED: dict[str, Query] = {f"stored_{name}": _stored(name) for name in STORED}
 

@@ -8,6 +8,7 @@ manifest; whoever reads meanwhile, or after a build that broke off, sees the sna
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 from decimal import Decimal
 
@@ -38,6 +39,8 @@ REPORTS = (
 
 #: What the source had in a month, counted before the model's joins.
 CONTROL = ("rows", "net_sales", "cogs")
+#: Small tables that are written at the same time.
+WRITERS = 8
 NO_MONTH = "__HIVE_DEFAULT_PARTITION__"
 
 
@@ -78,29 +81,39 @@ class Warehouse(SalesModel):
         number = store.next_number()
         manifest = Manifest(number)
 
-        def write(df: DataFrame, name: str, *partitions: str) -> None:
+        def write(name: str, df: DataFrame, *partitions: str) -> None:
             manifest.tables[name] = table_folder(name, number)
             manifest.schemas[name] = df.drop(*partitions).schema.json()
             df.write.mode("errorifexists").partitionBy(*partitions).parquet(f"{path}/{manifest.tables[name]}")
 
+        def write_all(tables: dict[str, DataFrame], *partitions: str) -> None:
+            """Small tables side by side: a job of few tasks leaves most of a cluster idle."""
+            with ThreadPoolExecutor(WRITERS) as pool:
+                for done in [pool.submit(write, name, df, *partitions) for name, df in tables.items()]:
+                    done.result()
+
         counted = {r["month"] or NO_MONTH: {n: str(r[n] or 0) for n in CONTROL} for r in source.control_totals().collect()}
         lines = source.fact().withColumn(MONTH_PARTITION, F.date_format("order_date", "yyyy-MM"))
-        write(lines.hint("rebalance", MONTH_PARTITION), FACT, MONTH_PARTITION)
+        write(FACT, lines.hint("rebalance", MONTH_PARTITION), MONTH_PARTITION)
         written = [n.removeprefix(MONTH_FOLDER) for n in store.folders(*table_folder(FACT, number).split("/")) if n.startswith(MONTH_FOLDER)]
         manifest.months = months | {month: number for month in written}
         manifest.control = control | counted
         month_lines = source.spark.read.schema(StructType([*lines.schema])).parquet(f"{path}/{manifest.tables[FACT]}")
-        write(quality.rule_state(month_lines, source.params, MONTH_PARTITION), "audit_rules", MONTH_PARTITION)
-        write(quality.usage_state(month_lines, MONTH_PARTITION), "audit_usage", MONTH_PARTITION)
-        write(quality.grain_state(month_lines, MONTH_PARTITION), "audit_grain", MONTH_PARTITION)
-        for name, dimension in source.dims.items():
-            write(dimension, f"dim_{name}")
+        states = {
+            "audit_rules": quality.rule_state(month_lines, source.params, MONTH_PARTITION),
+            "audit_usage": quality.usage_state(month_lines, MONTH_PARTITION),
+            "audit_grain": quality.grain_state(month_lines, MONTH_PARTITION),
+        }
+        write_all(states, MONTH_PARTITION)
+        write_all({f"dim_{name}": dimension for name, dimension in source.dims.items()})
         stored = cls(source.spark, path, source.params, source, manifest)
-        write(bridge.compare_periods(stored.sales_period), "bridge_units")
-        write(bridge.pvm_lines(stored.compared, staged=False), "pvm_lines")
-        resellers, skus = stored.dim_reseller, stored.skus("product_name", "category", "subcategory")
-        write(pareto.pareto_sku(stored.p1, skus, stored.params), "pareto_sku")
-        write(pareto.pareto_reseller(stored.p1, resellers, stored.params), "pareto_reseller")
+        write("bridge_units", bridge.compare_periods(stored.sales_period))
+        skus = stored.skus("product_name", "category", "subcategory")
+        write_all({
+            "pvm_lines": bridge.pvm_lines(stored.compared, staged=False),
+            "pareto_sku": pareto.pareto_sku(stored.p1, skus, stored.params),
+            "pareto_reseller": pareto.pareto_reseller(stored.p1, stored.dim_reseller, stored.params),
+        })
         store.publish(manifest)
         return stored
 

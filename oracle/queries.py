@@ -546,7 +546,8 @@ ORACLES["note_lookups"] = compose(
 
 ORACLES["files_fact_sales"] = ORACLES["fact_sales"]
 ORACLES["files_dim_product"] = ORACLES["dim_product"]
-ORACLES["files_dim_customer"] = ORACLES["dim_customer"]
+for _name in ("dim_customer", "dim_reseller", "dim_territory", "dim_promotion", "dim_date"):
+    ORACLES[f"files_{_name}"] = ORACLES[_name]
 ORACLES["files_kpi_summary"] = ORACLES["kpi_summary"]
 ORACLES["files_row_counts"] = compose(
     "\nUNION ALL ".join(
@@ -581,3 +582,19 @@ for _name in (
     ORACLES[f"export_{_name}"] = ORACLES[_name]
 for _name in ("fact_sales", "dim_sku", "kpi_summary", "kpi_monthly", "pvm_bridge", "pvm_by_category", "pareto_sku", "quality_report"):
     ORACLES[f"stored_{_name}"] = ORACLES[_name]
+
+# ---- every field of every JSON result, as number or text -----------------------------------------------------------
+
+RESULTS = (
+    "info_period_coverage", "kpi_matrix", "growth", "pvm_bridge", "pvm_by_channel", "pvm_by_category", "pvm_top_cost_increases",
+    "categories_p1", "kpi_by_subcategory", "kpi_by_territory", "kpi_by_reseller_type", "kpi_by_calendar_year",
+    "price_structure_labelled", "abc_sku_summary", "abc_reseller_summary", "pareto_peak", "worst_skus", "loss_making_summary",
+    "loss_by_category", "loss_top8", "disc_summary", "disc_by_promotion", "disc_depth_buckets", "disc_turning_lines_negative",
+    "new_product_promos", "already_below_cost", "segment", "price_grid", "price_sensitivity", "break_even_elasticity",
+    "stop_selling", "break_even_variable_share", "discount_rule_no_discount_below_cost", "discount_rule_cap",
+    "internet_plus10_margin", "pricing_vs_cost", "period_labels",
+)
+ORACLES["results_json"] = "\nUNION ALL ".join(
+    f"""SELECT '{name}' AS result, field, TRY_CAST(value AS DOUBLE) AS number, CASE WHEN TRY_CAST(value AS DOUBLE) IS NULL THEN value END AS text
+        FROM (SELECT COLUMNS(*)::VARCHAR FROM ({ORACLES[name]})) UNPIVOT INCLUDE NULLS (value FOR field IN (COLUMNS(*)))"""
+    for name in RESULTS)
