@@ -1,14 +1,14 @@
 """Quality rules with risk-controlled thresholds.
 
-A rule rejects documents whose measure exceeds a cutoff. Cutoffs come from a fixed ladder, from lax to strict, and are
-tested on all labelled documents of good quality, stratum by stratum: a cutoff is certified if the exact binomial test
-rejects that it falsely rejects more than its share of ``RISK`` of the good documents. Cutoffs of one ladder are tested in
-fixed order and the first failure ends it, so a ladder costs one test; the level is divided by the number of ladders (rules
-times strata). Each rule gets ``RISK`` divided by the number of rules. With probability ``1 - LEVEL``, then, no stratum
-loses more than RISK of its good documents to the rules. Of the certified cutoffs that one is taken which serves best. Where
-labels are too few to certify anything, nothing is rejected.
-
-Counts over documents and labels are Spark aggregations; what is tested is one row per stratum, rule and cutoff.
+A rule rejects documents whose measure exceeds a cutoff. The cutoffs of all rules form one ladder of ``STEPS`` steps, from lax
+to strict: a step rejects what any rule rejects at its cutoff of that step. Steps are tested in order on all labelled
+documents of good quality, stratum by stratum: a step is certified if the exact binomial test rejects that it falsely rejects
+more than ``RISK`` of the stratum's good documents. The first failure ends the ladder, so a ladder costs one test, and the
+level is divided by the number of strata. With probability ``1 - LEVEL``, then, no stratum loses more than RISK of its good
+documents to the rules. Of the certified steps that one is taken which serves best. Where labels are too few to certify
+anything (four strata need some 150 good documents each), nothing is rejected.
+
+Counts over documents and labels are Spark aggregations; what is tested is one row per stratum and step.
 """
 
 from __future__ import annotations
@@ -25,18 +25,19 @@ from pyspark.sql import functions as F
 from marginlens.functions.staged import stage
 from marginlens.llm.common import BLANKS, Batches, batch, map_batches, ship
 
-RISK, LEVEL = 0.05, 0.05
+RISK, LEVEL = 0.03, 0.05
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
-#: Rule: numerator, denominator, and the ladder of cutoffs of their quotient.
-SHARES = tuple(round(0.50 - 0.02 * k, 2) for k in range(25))
+STEPS = 24
+#: Rule: numerator, denominator, and the cutoffs of their quotient, one a step.
+SHARES = tuple(round(0.50 - 0.02 * k, 2) for k in range(STEPS))
 RULES = {
     "symbols": ("n_symbols", "word_chars", SHARES),
     "duplicate lines": ("n_dup_lines", "n_lines", SHARES),
     "repeated words": ("n_repeat_words", "n_words", SHARES),
     "capitals": ("n_capitals", "word_chars", SHARES),
     "exclamations": ("n_exclamations", "n_words", SHARES),
-    "long words": ("word_chars", "n_words", tuple(20.0 - 0.5 * k for k in range(24))),
+    "long words": ("word_chars", "n_words", tuple(20.0 - 0.5 * k for k in range(STEPS))),
 }
 _CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_exclamations")
@@ -81,12 +82,16 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def _rungs(rule: str) -> Column:
-    """How many cutoffs of a rule's ladder reject a document; the strict end of the ladder rejects first."""
-    above, below, ladder = RULES[rule]
-    value = F.col(above) / F.nullif(F.col(below), F.lit(0))
-    rejecting = [F.when(value > cutoff, 1).otherwise(0) for cutoff in ladder]
-    return sum(rejecting[1:], rejecting[0])
+def _rejecting_steps() -> Column:
+    """How many steps reject a document: the last ones, since whatever a lax step rejects, all stricter ones reject as well."""
+
+    def of(rule: str) -> Column:
+        above, below, cutoffs = RULES[rule]
+        value = F.col(above) / F.nullif(F.col(below), F.lit(0))
+        rejecting = [F.when(value > cutoff, 1).otherwise(0) for cutoff in cutoffs]
+        return sum(rejecting[1:], rejecting[0])
+
+    return F.greatest(*map(of, RULES))
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -100,49 +105,42 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return float(math.exp(top) * np.exp(logs - top).sum())
 
 
-def certified(good: int, rejected: list[int], ladders: int) -> int:
-    """How many cutoffs of a ladder are certified; ``rejected`` holds the good documents that each rejects."""
-    share, level = RISK / len(RULES), LEVEL / ladders
+def certified(good: int, rejected: list[int], strata: int) -> int:
+    """How many steps of a stratum's ladder are certified; ``rejected`` holds the good documents that each rejects."""
     for passed, k in enumerate(rejected):
-        if good == 0 or k > share * good or binomial_tail(k, good, share) > level:
+        if good == 0 or k > RISK * good or binomial_tail(k, good, RISK) > LEVEL / strata:
             return passed
     return len(rejected)
 
 
 def _select(group: pd.DataFrame) -> pd.DataFrame:
-    """One stratum: rows (rule, rungs, good, bad) of its documents, and the number of strata."""
-    ladders = int(group["strata"].iloc[0]) * len(RULES)
-    rows = []
-    for rule, (_, _, ladder) in RULES.items():
-        own = group[group["rule"] == rule]
-        # the cutoff at place k, from the lax end, rejects the documents that at least len(ladder) - k cutoffs reject:
-        # whatever a lax cutoff rejects, all stricter ones reject as well
-        good, bad = ([int(own.loc[own["rungs"] >= len(ladder) - k, n].sum()) for k in range(len(ladder))] for n in ("good", "bad"))
-        passed = certified(int(own["good"].sum()), good, ladders)
-        gain = [b - g for g, b in zip(good[:passed], bad[:passed], strict=True)]
-        taken = gain.index(max(gain)) + 1 if gain and max(gain) > 0 else 0
-        rows.append((group["stratum"].iloc[0], rule, int(own["good"].sum()), passed, taken))
-    return pd.DataFrame(rows, columns=["stratum", "rule", "good", "passed", "taken"])
+    """One stratum: rows (steps, good, bad) of its documents by the number of steps that reject them, and the number of strata."""
+    good, bad = ([int(group.loc[group["steps"] >= STEPS - k, n].sum()) for k in range(STEPS)] for n in ("good", "bad"))
+    passed = certified(int(group["good"].sum()), good, int(group["strata"].iloc[0]))
+    gain = [b - g for g, b in zip(good[:passed], bad[:passed], strict=True)]
+    taken = gain.index(max(gain)) + 1 if gain and max(gain) > 0 else 0
+    row = (group["stratum"].iloc[0], int(group["good"].sum()), passed, taken)
+    return pd.DataFrame([row], columns=["stratum", "good", "passed", "taken"])
 
 
 def thresholds(counts: DataFrame, labels: DataFrame) -> DataFrame:
-    """(stratum, rule, good, passed, taken): labelled good documents, certified cutoffs and the cutoff taken, from the lax end.
+    """(stratum, good, passed, taken): labelled good documents, certified steps and the step taken, counted from the lax end.
 
-    Of the certified cutoffs the one is taken that rejects most bad documents less good ones, the laxest of equals, and none
-    (0) if none rejects more bad than good: any choice among certified cutoffs keeps the guarantee. A stratum is a language;
+    Of the certified steps the one is taken that rejects most bad documents less good ones, the laxest of equals, and none
+    (0) if none rejects more bad than good: any choice among certified steps keeps the guarantee. A stratum is a language;
     documents without language are one too. Good are documents with a label of quality 1 and none of quality 0 that pass the
-    base rules. Labels without doc_id, or of unknown documents, count for nothing.
+    base rules. A doc_id that occurs several times in a stratum counts once, by its worst text. Labels without doc_id, or of
+    unknown documents, count for nothing.
     """
     ship(counts.sparkSession)
     labelled = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("labelled"))
     labelled = labelled.agg(F.min("quality").alias("quality"))
     held = counts.filter(~base_failed()).join(labelled, F.col("doc_id") == F.col("labelled"))
-    rules = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), _rungs(r).alias("rungs")) for r in RULES])).alias("r")
-    bins = held.select(F.coalesce("lang", F.lit("")).alias("stratum"), "quality", rules).groupBy("stratum", "r.rule", "r.rungs")
-    bins = stage(bins.agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad")), "quality-bins")
+    once = held.groupBy(F.coalesce("lang", F.lit("")).alias("stratum"), "doc_id", "quality").agg(F.max(_rejecting_steps()).alias("steps"))
+    bins = once.groupBy("stratum", "steps").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad"))
+    bins = stage(bins, "quality-bins")
     strata = bins.agg(F.count_distinct("stratum")).first()[0]
-    return bins.withColumn("strata", F.lit(strata)).groupBy("stratum").applyInPandas(
-        _select, "stratum string, rule string, good long, passed int, taken int")
+    return bins.withColumn("strata", F.lit(strata)).groupBy("stratum").applyInPandas(_select, "stratum string, good long, passed int, taken int")
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -153,12 +151,9 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     nothing. Repeated rows come out as often as they go in; no rows in, no rows out.
     """
     counts = stage(measured(docs), "quality-counts")
-    cut = stage(thresholds(counts, labels), "quality-thresholds").groupBy(F.col("stratum").alias("of")).agg(
-        F.map_from_entries(F.collect_list(F.struct("rule", "taken"))).alias("taken"))
+    cut = stage(thresholds(counts, labels), "quality-thresholds").select(F.col("stratum").alias("of"), "taken")
     placed = counts.join(cut, F.coalesce("lang", F.lit("")) == F.col("of"), "left")
-    bad = F.lit(False)
-    for rule, (_, _, ladder) in RULES.items():
-        taken = F.coalesce(F.element_at("taken", F.lit(rule)), F.lit(0))
-        bad = bad | ((taken > 0) & (_rungs(rule) > len(ladder) - taken))
+    taken = F.coalesce("taken", F.lit(0))
+    bad = (taken > 0) & (F.coalesce(_rejecting_steps(), F.lit(0)) > STEPS - taken)
     return placed.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          base_failed().alias("base_failed"), (~base_failed() & ~bad).alias("kept"))

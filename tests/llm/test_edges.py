@@ -206,11 +206,10 @@ def test_quality_edges(spark, docs_frame):
     assert quality.judged(docs_frame(*ROWS).limit(0), labels.limit(0)).count() == 0
 
 
-def test_certified_cutoffs_keep_the_risk():
-    share = quality.RISK / len(quality.RULES)
-    exact = sum(_binomial(200, i, share) for i in range(3))
-    assert quality.binomial_tail(2, 200, share) == pytest.approx(exact)
-    assert quality.certified(100, [0, 0], 6) == 0 and quality.certified(100_000, [0, 10, 5_000], 6) == 2
+def test_certified_steps_keep_the_risk():
+    exact = sum(_binomial(200, i, quality.RISK) for i in range(3))
+    assert quality.binomial_tail(2, 200, quality.RISK) == pytest.approx(exact)
+    assert quality.certified(50, [0, 0], 6) == 0 and quality.certified(100_000, [0, 10, 6_000, 0], 6) == 2
     assert quality.certified(0, [0], 6) == 0
 
 
