@@ -246,7 +246,7 @@ def test_language_model_edges(docs_frame):
 
 def test_personal_data_edges(docs_frame):
     found = {r.doc_id: r.spans for r in pii.find(docs_frame(*ROWS, (9, "x@y.zz"))).collect()}
-    assert found[2] == found[3] == found[4] == [] and [tuple(s) for s in found[9]] == [("email", 0, 6)]
+    assert found[2] == found[3] == found[4] == [] and [tuple(s) for s in found[9]] == [("email", 0, 6, 1.0)]
     assert pii.find(docs_frame(*ROWS).limit(0)).count() == 0
 
 

@@ -148,6 +148,21 @@ def test_added_kinds_need_checksum_or_context():
     assert kinds("password=b7db7aa4a5fcc783") == ["secret"]
 
 
+@pytest.mark.parametrize("text, kinds", [
+    ("the secret: something in prose", []), ("The password: Confidential stays", []), ("secret=hunter2hunter2", ["secret"]),
+    ("login credentials, password: correcthorse", ["secret"]), ("for example password=abc12345678, a placeholder", []),
+    ("her social security number is 123-45-6789", ["ssn"]), ("her SSN is 000-45-6789", []), ("her SSN is 666-45-6789", []),
+    ("her SSN is 912-45-6789", []), ("her SSN is 123-00-6789", []), ("her SSN is 123-45-0000", []), ("invoice id 123-45-6789", []),
+    ("DE89 3704 0044 0532 0130 00", ["iban"]), ("DE89370400440532013000", ["iban"]), ("DE893704004405320130001", []),
+    ("FR1420041010050500013M02606", ["iban"]), ("FR14 2004 1010 0505 0001 3M02", []), ("ZZ89 3704 0044 0532 0130 00", []),
+    ("NO9386011117947 NO9386011117948", ["iban"]), ("DE89 3704 0044 0532 0130 0", []),
+])
+def test_decoys_of_the_added_kinds(text, kinds):
+    found = pii.scored(text)
+    assert [k for k, *_ in found if k not in pii.BASE] == kinds
+    assert all(pii.NEEDED <= score <= 1 for *_, score in found)
+
+
 def test_archives_keep_every_page(spark):
     rows = duckdb.sql(f"SELECT page_id, html FROM '{SMALL}/pages.parquet'").fetchall()
     first: dict[str, int] = {}
