@@ -29,14 +29,18 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9_])(?:password|passwd|secret|token|api_?key)[=:]\x20?([A-Za-z0-9_/+.-]{8,})", re.IGNORECASE)
+_SECRET = re.compile(r"(?<![A-Za-z0-9_])(?:password|passwd|secret|token|api_?key)\x20{0,2}[=:]\x20{0,2}[\"']?([A-Za-z0-9_/+.-]{8,})", re.IGNORECASE)
 #: Weight of a pattern that no checksum confirms, what a context word adds or takes, the score needed, and how far context reaches.
 WEIGHTS, CONTEXT_WEIGHT, NEEDED, REACH = {"ssn": 0.4, "secret": 0.4}, 0.3, 0.6, 60
 _CONTEXT = {
     "ssn": re.compile(r"\b(?:ssn|social|security|insurance|tax|identity|id)\b", re.IGNORECASE),
     "secret": re.compile(r"\b(?:login|log[ -]?in|credentials?|username|user|account|auth|private|key|config)\b", re.IGNORECASE),
 }
-_AGAINST = re.compile(r"\b(?:example|sample|dummy|placeholder|fake|fictitious|your|part|serial|invoice|order|model)\b", re.IGNORECASE)
+# words of their own: a host such as example.com is no example
+_AGAINST = {
+    "ssn": re.compile(r"(?<![\w@.-])(?:example|sample|dummy|fictitious|part|serial|invoice|order|model)(?![.-]?\w)", re.IGNORECASE),
+    "secret": re.compile(r"(?<![\w@.-])(?:example|sample|dummy|placeholder|fictitious)(?![.-]?\w)", re.IGNORECASE),
+}
 # The length of an account number by country.
 IBAN_LENGTHS = {
     "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21,
@@ -110,7 +114,7 @@ def _digits(text: str) -> str:
 def _score(kind: str, text: str, start: int, end: int) -> float:
     """Between 0 and 1, from the pattern's weight and the words around text[start:end]."""
     around = text[max(0, start - REACH) : start] + " " + text[end : end + REACH]
-    turns = len(_CONTEXT[kind].findall(around)) - len(_AGAINST.findall(around))
+    turns = len(_CONTEXT[kind].findall(around)) - len(_AGAINST[kind].findall(around))
     return min(1.0, max(0.0, WEIGHTS[kind] + CONTEXT_WEIGHT * turns))
 
 

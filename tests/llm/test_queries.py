@@ -150,6 +150,8 @@ def test_added_kinds_need_checksum_or_context():
 
 @pytest.mark.parametrize("text, kinds", [
     ("the secret: something in prose", []), ("The password: Confidential stays", []), ("secret=hunter2hunter2", ["secret"]),
+    ('token = "04dbebab91ab85687d33"', ["secret"]), ("API_KEY: 'a1b2c3d4e5'", ["secret"]), ("token : short1", []),
+    ("x@mail6.example.com token = abc12345678", ["secret"]), ("mytoken = a1b2c3d4e5", []),
     ("login credentials, password: correcthorse", ["secret"]), ("for example password=abc12345678, a placeholder", []),
     ("her social security number is 123-45-6789", ["ssn"]), ("her SSN is 000-45-6789", []), ("her SSN is 666-45-6789", []),
     ("her SSN is 912-45-6789", []), ("her SSN is 123-00-6789", []), ("her SSN is 123-45-0000", []), ("invoice id 123-45-6789", []),
