@@ -30,8 +30,8 @@ from marginlens.llm.common import Batches, map_batches
 SPLIT = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-#: Bounds of the tables that a worker keeps.
-KEPT_WORDS, KEPT_PAIRS = 400_000, 500_000
+#: Bounds of the tables that a worker keeps: entries of a generation, and the longest word in characters that is kept at all.
+KEPT_WORDS, KEPT_PAIRS, KEPT_LENGTH = 200_000, 250_000, 64
 
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 
@@ -44,13 +44,15 @@ def _byte_letters() -> dict[str, int]:
 
 
 class _Recent(dict):
-    """A table that computes what it lacks, in two generations of at most ``most`` entries."""
+    """A table that computes what it lacks, in two generations of at most ``most`` entries, keys of bounded length alone."""
 
     def __init__(self, compute, most: int):
         super().__init__()
         self.compute, self.most, self.older = compute, most, {}
 
     def __missing__(self, key):
+        if len(key) > KEPT_LENGTH:
+            return self.compute(key)
         value = self.older.get(key)
         if value is None:
             value = self.compute(key)

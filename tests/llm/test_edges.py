@@ -198,6 +198,12 @@ def test_encoding_edges(docs_frame):
     assert bpe.round_trip(docs_frame(*ROWS).limit(0), VOCABULARY).count() == 0
 
 
+def test_long_words_are_encoded_and_not_kept():
+    own = bpe.Codec(open(VOCABULARY, encoding="utf-8").read())
+    text = "short " + "x" * 100_000 + " " + "q" * (bpe.KEPT_LENGTH + 5)
+    assert own.decode(own.encode(text)) == text and max(map(len, own.words)) <= bpe.KEPT_LENGTH
+
+
 def test_quality_edges(spark, docs_frame):
     labels = spark.createDataFrame([(1, 1), (None, 1), (1, 1), (6, None), (99, 0)], "doc_id long, quality int")
     found = rows(quality.judged(docs_frame(*ROWS), labels), "doc_id", "n_words", "base_failed", "kept")
