@@ -5,7 +5,7 @@ and its distance to a language is the sum over its n-grams of how far out of pla
 language's profile lacks counts as the full length of a profile. The language at the least distance is predicted.
 
 N-grams are runs of one to three lower-cased letters, words being set off by a single mark. They are counted as packed
-integers. The profiles are fitted on at most ``TRAIN_DOCS`` whole documents of each language, those of the smallest hash;
+integers, in which a mark that ends an n-gram is not told from its absence. The profiles are fitted on at most ``TRAIN_DOCS`` whole documents of each language, those of the smallest hash;
 everything is predicted on whole texts.
 """
 
