@@ -36,7 +36,7 @@ SAMPLE, NODE_LEVELS = 20_000, 9
 LEVELS = 40
 SEED = 7
 
-_LEAVES = pa.schema([("label", pa.int64()), ("dim", pa.int32()), ("tree", pa.int32()), ("path", pa.int64()),
+_LEAVES = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("tree", pa.int32()), ("path", pa.int64()),
                      ("id", pa.int64()), ("copies", pa.int64()), ("vector", pa.list_(pa.float64()))])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _COUNTS = pa.schema([("id", pa.int64()), ("linked", pa.int64())])
@@ -109,7 +109,7 @@ def _leaf_batches(batches: Batches, forests: dict[int, Forest]) -> Batches:
                 for some in range(0, len(at), 8192):
                     own = part.take(pa.array(at[some : some + 8192]))
                     yield pa.RecordBatch.from_arrays(
-                        [own.column("label").cast(pa.int64()), own.column("dim"), pa.array(np.full(own.num_rows, tree), pa.int32()),
+                        [own.column("label").cast(pa.string()), own.column("dim"), pa.array(np.full(own.num_rows, tree), pa.int32()),
                          pa.array(path[some : some + 8192]), own.column("id"), own.column("copies"),
                          own.column("vector").cast(pa.list_(pa.float64()))], schema=_LEAVES)
 
@@ -164,14 +164,14 @@ def _blocks(rows: DataFrame, by: list[str]) -> DataFrame:
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of ``vectors`` (vec_id, embedding, label; others are not read).
 
-    Two vectors are linked if they have the same label and the same dimension and their cosine is THRESHOLD or more. A vector
+    Two vectors are linked if they have the same label, of whatever type, and the same dimension and their cosine is THRESHOLD or more. A vector
     that is null, empty, zero, or holds a null or non-finite component, a null label and a null vec_id link with nothing:
     n_links 0, component_id its vec_id, kept. Equal rows are vectors of their own that are linked; rows that repeat a vec_id
     share its component. ``kept`` is true for the smallest vec_id of a component. No rows in, no rows out.
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = vectors.select(F.col("vec_id").cast("bigint"), F.col("label").cast("bigint"), "embedding",
+    rows = vectors.select(F.col("vec_id").cast("bigint"), F.col("label").cast("string"), "embedding",
                           (usable() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).alias("usable"))
     classes = rows.filter("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     classes = stage(classes.select("label", F.size("embedding").alias("dim"), "id", "copies", F.col("embedding").alias("vector")),
@@ -186,7 +186,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     depth = F.greatest(F.ceil(F.log2(F.col("n") / LEAF)), F.lit(0)).cast("int")
     deep = classes.join(per_label, ["label", "dim"]).withColumn("depth", F.least(depth, F.lit(LEVELS)))
     placed = map_batches(deep.select("label", "dim", "depth", "id", "copies", "vector"), partial(_leaf_batches, forests=forests),
-                         "label bigint, dim int, tree int, path bigint, id bigint, copies bigint, vector array<double>")
+                         "label string, dim int, tree int, path bigint, id bigint, copies bigint, vector array<double>")
     leaf = ["label", "dim", "tree", "path"]
     found = _blocks(stage(placed, "vector-leaves"), leaf).groupBy(*leaf, "low", "high").applyInArrow(_forest_links, "a bigint, b bigint")
     roots = stage(components(stage(found, "vector-links")), "vector-roots")

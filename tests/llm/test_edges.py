@@ -241,6 +241,13 @@ def test_embedding_edges(spark, monkeypatch):
     assert embed_dedup.near_duplicates(vectors.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind, same, other", [("double", 1.2, 1.7), ("string", "a", "b"), ("decimal(4,2)", "1.20", "1.70")])
+def test_labels_are_compared_as_they_are(spark, kind, same, other):
+    vectors = spark.createDataFrame([(i, [1.0, 2.0], label if label is None else str(label)) for i, label in enumerate([same, same, other, other, None])], "vec_id long, embedding array<double>, label string")
+    found = embed_dedup.near_duplicates(vectors.withColumn("label", F.col("label").cast(kind)))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found.collect()} == {0: (1, 0), 1: (1, 0), 2: (1, 2), 3: (1, 2), 4: (0, 4)}
+
+
 def test_language_model_edges(docs_frame):
     docs = docs_frame(*ROWS)
     found = {r.doc_id: r for r in lm.score(docs, lm.fit(docs)).collect()}
