@@ -316,11 +316,15 @@ def _mapped_folder(docs: DataFrame) -> str:
     return folder
 
 
-def _per_shard(rows: DataFrame, function, schema: str, **kept) -> DataFrame:
+def _per_shard(rows: DataFrame, shards: int, function, schema: str, **kept) -> DataFrame:
+    """``function`` on the rows of each shard. There are as many tasks as shards ask for, whatever the session's setting is:
+    what a task reads stays at a few shards of SHARD_BYTES however large the corpus.
+    """
+
     def merge(group: pa.Table) -> pa.Table:
         return function(group, **kept)
 
-    return rows.groupBy("shard").applyInArrow(merge, schema)
+    return rows.repartition(2 * shards, "shard").groupBy("shard").applyInArrow(merge, schema)
 
 
 def held_out() -> Column:
@@ -336,7 +340,7 @@ def fit(docs: DataFrame) -> Model:
     shards = 1 + octets // SHARD_BYTES
     folder = _mapped_folder(docs)
     counted = map_batches(train, partial(_word_batches, shards=shards), "shard int, keys binary, counts binary")
-    written = _per_shard(counted, _write_words, "shard int, words bigint, tokens bigint", folder=folder)
+    written = _per_shard(counted, shards, _write_words, "shard int, words bigint, tokens bigint", folder=folder)
     found = {r["shard"]: r for r in written.collect()}
     sizes, tokens = ([found[k][c] if k in found else 0 for k in range(shards)] for c in ("words", "tokens"))
     model = Model(folder, sizes, tokens, shards)
@@ -344,14 +348,14 @@ def fit(docs: DataFrame) -> Model:
         return model
 
     pairs = map_batches(train, partial(_bigram_batches, model=model), "shard int, keys binary, counts binary")
-    stats = stage(_per_shard(pairs, _write_bigrams, "kind string, shard int, a binary, b binary", model=model), "bigram-stats")
+    stats = stage(_per_shard(pairs, shards, _write_bigrams, "kind string, shard int, a binary, b binary", model=model), "bigram-stats")
     totals = sum(_unpack(r["a"], np.int64) for r in stats.filter("kind = 'totals'").select("a").collect())
     model.discounts, model.bigrams = discounts(*totals[:4].tolist()), int(totals[4])
     # every shard has a row, so that every shard's arrays are written
     shard_rows = docs.sparkSession.range(shards).select(
         F.lit("none").alias("kind"), F.col("id").cast("int").alias("shard"), F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"))
     of_words = stats.filter("kind != 'totals'").unionByName(shard_rows)
-    done = _per_shard(of_words, _write_stats, "shard int, n array<bigint>", model=model).collect()
+    done = _per_shard(of_words, shards, _write_stats, "shard int, n array<bigint>", model=model).collect()
     lower = np.sum([r["n"] for r in done], axis=0)
     model.lower_discounts = discounts(*lower[:4].tolist())
     one, two = int(lower[0]), int(lower[1])
