@@ -13,7 +13,6 @@ and renamed, so that a repeated task replaces a shard by the same bytes.
 
 from __future__ import annotations
 
-import math
 import os
 import uuid
 from dataclasses import dataclass

@@ -1,9 +1,10 @@
 """Toxicity by bags of subwords: the vectors of a text's words are averaged and a linear softmax reads the average.
 
-A word's vector is the mean of the vectors of its character n-grams (its edges are marked by the characters 2 and 3) and of the word as a whole, so a misspelt
-or invented word that was never seen in training stands near the words that it shares n-grams with. N-grams are hashed to
-``BUCKETS`` rows; a row that no training text touches is zero and says nothing. The vectors and the softmax are trained
-together, in numpy, on a sample of labelled documents of bounded number and size; scoring reads whole texts of all rows.
+A word's vector is the mean of the vectors of its character n-grams (its edges are marked by the characters 2 and 3) and of the
+word as a whole, so a misspelt or invented word that was never seen in training stands near the words that it shares n-grams
+with. N-grams are hashed to ``BUCKETS`` rows; a row that no training text touches is zero and says nothing. The vectors and the
+softmax are trained together, in numpy, on a sample of labelled documents of bounded number and size; scoring reads whole texts
+of all rows.
 
 At scoring time the softmax is linear in the average, so every bucket is reduced to one number (its share of the log-odds)
 and a text's log-odds are the mean over its words. Tasks receive that table alone: BUCKETS numbers, whatever the corpus.
