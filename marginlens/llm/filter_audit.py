@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginlens.functions.staged import stage
+from marginlens.functions.staged import WIDE_ROWS, stage
 from marginlens.llm.common import Batches, batch, map_batches
 
 FILTERS = "ABCDE"
@@ -164,7 +164,7 @@ def _flag_batches(batches: Batches, moved: dict[str, int]) -> Batches:
 
 def flags(docs: DataFrame, part: str = "lang") -> DataFrame:
     """(doc_id, part, digest, flags) per row of ``docs``: which of filters A to D fail, as bits, and a digest of the text."""
-    shards = stage(matrix(docs, part), "audit-shards")
+    shards = stage(matrix(docs, part), "audit-shards", WIDE_ROWS)
     moved = moved_ids(shards)
     read = shards if moved else shards.select("ids", "starts", "columns", "counts", "rows")
     return map_batches(read, partial(_flag_batches, moved=moved), "doc_id bigint, part string, digest binary, flags int")

@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import permutations
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,15 @@ def test_only_distinct_words_and_decisions_are_shuffled(spark):
     plan = filter_audit.audit(docs, labels)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "text" not in plan.replace("audit-shards", "").replace("text_", "")
     assert filter_audit.flags(docs).filter(F.col("flags") < 0).count() == 0
+
+
+def test_a_row_group_of_shards_is_bounded(spark, monkeypatch):
+    staged = []
+    monkeypatch.setattr(filter_audit, "stage", lambda *a: staged.append(stage(*a)) or staged[-1])
+    words = "array_join(transform(sequence(1, 60000), i -> concat(id, 'x', hash(i, id))), ' ')"
+    docs = spark.range(40).coalesce(1).select(F.col("id").alias("doc_id"), F.expr(words).alias("text"), F.lit("en").alias("lang"))
+    assert filter_audit.flags(docs).count() == 40
+    (path,) = staged[0].inputFiles()
+    written = pq.ParquetFile(path.removeprefix("file://")).metadata
+    groups = [written.row_group(i) for i in range(written.num_row_groups)]
+    assert written.num_rows > 2 and max(g.num_rows for g in groups) <= 2  # shards of some 15 MB, row groups of 16 MB
