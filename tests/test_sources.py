@@ -61,6 +61,13 @@ def test_scan_fails_on_a_line_that_does_not_fit_whatever_is_read(spark, tmp_path
         uses[use]()
 
 
+def test_a_line_is_split_once_for_its_check_and_all_its_fields(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("1|fine|1.0\n", encoding="utf-8")
+    scan = scan_delimited(spark, str(path), SCAN_SCHEMA).filter("k > 0 AND name IS NOT NULL")
+    assert scan._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
 def test_rejects_name_file_reason_and_line(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text("1|fine|1.0\n" + "\n".join(BAD_LINES) + "\n", encoding="utf-8")
