@@ -174,3 +174,10 @@ def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Session)
+
+
+def test_the_fact_is_spread_by_month_before_its_columns_are_computed(small):
+    spread = small.rebalanced_fact()
+    below = spread._jdf.queryExecution().optimizedPlan().toString().split("RebalancePartitions", 1)[1]
+    assert not [c for c in ("sales_line_id", "discount_amount", "gross_margin", "unit_cogs") if c in below]
+    assert spread.exceptAll(small.fact()).isEmpty() and spread.count() == small.fact().count()
