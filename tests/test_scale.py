@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginlens.functions.staged import shared_dir, stage
+from marginlens.operators import quality
 from marginlens.plans.catalog import CATALOG, as_doubles
 from marginlens.plans.model import OrderModel
 from tests.conftest import TESTDATA
@@ -181,3 +182,13 @@ def test_the_fact_is_spread_by_month_before_its_columns_are_computed(small):
     below = spread._jdf.queryExecution().optimizedPlan().toString().split("RebalancePartitions", 1)[1]
     assert not [c for c in ("sales_line_id", "discount_amount", "gross_margin", "unit_cogs") if c in below]
     assert spread.exceptAll(small.fact()).isEmpty() and spread.count() == small.fact().count()
+
+
+def test_lines_are_not_shuffled_when_no_order_is_in_two_months(spark):
+    lines = spark.range(5000).selectExpr("concat('SO', id div 4) AS order_number", "concat('a|SO', id div 4, '|', id) AS sales_line_id", "concat('m', (id div 4) % 3) AS month")
+    lines = stage(lines, "lines-of-one-month")
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="8KB", spark__sql__adaptive__autoBroadcastJoinThreshold="8KB"):
+        found = quality.grain_over_months(quality.grain_state(lines, "month"), lines, "month")
+        plan = plan_of(found)
+    assert "BroadcastHashJoin [order_number" in plan and "SortMergeJoin" not in plan
+    assert found.first()["violations"] == 0
