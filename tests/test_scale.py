@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
 
-from marginlens.functions.staged import shared_dir, stage
+from marginlens.functions.staged import freed_shuffles, shared_dir, stage
 from marginlens.operators import quality
 from marginlens.plans.catalog import CATALOG, as_doubles
 from marginlens.plans.model import OrderModel
+from marginlens.plans.warehouse import Warehouse
 from tests.conftest import TESTDATA
 
 TABLES = ("region", "nation", "customer", "part", "orders", "lineitem")
@@ -192,3 +194,61 @@ def test_lines_are_not_shuffled_when_no_order_is_in_two_months(spark):
         plan = plan_of(found)
     assert "BroadcastHashJoin [order_number" in plan and "SortMergeJoin" not in plan
     assert found.first()["violations"] == 0
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    names = set()
+    while files.hasNext():
+        names.add(files.next().getName())
+    return {name for name in names if name.startswith("shuffle_")}
+
+
+def test_shuffle_files_go_when_their_query_ends(spark, tmp_path):
+    before, setting = shuffle_files(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting, None)
+    rows = spark.range(1000).repartition(4, "id")
+    with freed_shuffles(spark):
+        rows.write.parquet(f"{tmp_path}/freed")
+    for _ in range(50):  # files are deleted in the background
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before and spark.read.parquet(f"{tmp_path}/freed").count() == 1000
+    assert spark.conf.get(setting, None) == was
+    with pytest.raises(ValueError), freed_shuffles(spark):
+        raise ValueError
+    assert spark.conf.get(setting, None) == was
+
+
+def test_a_build_frees_its_shuffles(spark, small, tmp_path, monkeypatch):
+    seen = []
+    totals = small.control_totals
+    monkeypatch.setattr(small, "control_totals", lambda: seen.append(spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")) or totals())
+    Warehouse.build(small, str(tmp_path / "store"))
+    assert seen == ["true"]
+
+
+def test_control_totals_shuffle_lines_by_order_and_by_part_only(spark, small):
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold=-1, spark__sql__adaptive__autoBroadcastJoinThreshold=-1):
+        plan = plan_of(small.control_totals())
+    of_lines = [line for line in plan.splitlines() if "Exchange hashpartitioning(l_" in line]
+    assert len(of_lines) == 2 and all(line.split("hashpartitioning(")[1].count("#") == 1 for line in of_lines), of_lines
+
+
+def test_control_totals_price_each_line_by_one_row_per_key(spark, tmp_path):
+    """Orders and parts that come twice, lines without an order, part, number or day: one look-up a line, and no line is lost."""
+    day = F.to_timestamp_ntz(F.col("o_orderdate"))
+    orders = [(1, "1995-03-31 10:00:00"), (1, "1996-01-01 00:00:00"), (2, "1996-01-31 23:59:59"), (3, None), (None, "1996-01-05 00:00:00")]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_orderdate string").withColumn("o_orderdate", day).write.parquet(f"{tmp_path}/orders.parquet")
+    parts = [(1, 10.0), (1, 8.0), (2, 1.2345), (3, None)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [
+        (1, 1, 2.0, 100.0, 0.1), (1, 2, 3.0, 50.0, 0.0), (2, 2, 10.0, 12.3456, 0.05), (2, 9, 1.0, 5.0, 0.0), (9, 1, 1.0, 7.0, 0.0),
+        (3, 1, 1.0, 9.0, 0.0), (None, None, None, None, None), (2, 3, 4.0, None, 0.0),
+    ]
+    schema = "l_orderkey bigint, l_partkey bigint, l_quantity double, l_extendedprice double, l_discount double"
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {r["month"]: (r["rows"], *(None if r[c] is None else float(r[c]) for c in ("net_sales", "cogs"))) for r in OrderModel(spark, str(tmp_path)).control_totals().collect()}
+    # net: 90 + 50; cost: 2 * 8 + 3 * 1.2345 in the first year, 10 * 1.2345 * 1.05 (1.2962) in the second
+    assert found == {"1995-03": (2, 140.0, 19.7035), "1996-01": (3, 16.7283, 12.962), None: (3, 16.0, None)}
