@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import time
 from contextlib import contextmanager
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,14 +188,22 @@ def test_the_fact_is_spread_by_month_before_its_columns_are_computed(small):
     assert spread.exceptAll(small.fact()).isEmpty() and spread.count() == small.fact().count()
 
 
-def test_lines_are_not_shuffled_when_no_order_is_in_two_months(spark):
-    lines = spark.range(5000).selectExpr("concat('SO', id div 4) AS order_number", "concat('a|SO', id div 4, '|', id) AS sales_line_id", "concat('m', (id div 4) % 3) AS month")
-    lines = stage(lines, "lines-of-one-month")
-    with settings(spark, spark__sql__autoBroadcastJoinThreshold="8KB", spark__sql__adaptive__autoBroadcastJoinThreshold="8KB"):
-        found = quality.grain_over_months(quality.grain_state(lines, "month"), lines, "month")
-        plan = plan_of(found)
-    assert "BroadcastHashJoin [order_number" in plan and "SortMergeJoin" not in plan
-    assert found.first()["violations"] == 0
+def test_lines_are_sorted_by_month_and_order_before_their_columns_are_computed(small):
+    plan = small.rebalanced_fact()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [date_format" in plan
+    below = plan.split("Sort [date_format", 1)[1]
+    assert not [c for c in ("sales_line_id", "discount_amount", "gross_margin", "unit_cogs") if c in below]
+
+
+def test_stored_lines_lie_by_order_and_are_compressed(small, tmp_path):
+    Warehouse.build(small, str(tmp_path / "store"))
+    files = [pq.ParquetFile(p) for p in Path(tmp_path, "store", "tables", "fact_sales").rglob("*.parquet")]
+    for file in files:
+        table = file.read(["order_number", "order_line"]).to_pydict()
+        lines = [(int(o.removeprefix("SO")), n) for o, n in zip(table["order_number"], table["order_line"], strict=True)]
+        assert lines == sorted(lines)
+        assert {file.metadata.row_group(0).column(i).compression for i in range(file.metadata.num_columns)} == {"ZSTD"}
+    assert sum(file.metadata.num_rows for file in files) == small.source.table("lineitem").count()
 
 
 def shuffle_files(spark):
@@ -252,3 +262,13 @@ def test_control_totals_price_each_line_by_one_row_per_key(spark, tmp_path):
     found = {r["month"]: (r["rows"], *(None if r[c] is None else float(r[c]) for c in ("net_sales", "cogs"))) for r in OrderModel(spark, str(tmp_path)).control_totals().collect()}
     # net: 90 + 50; cost: 2 * 8 + 3 * 1.2345 in the first year, 10 * 1.2345 * 1.05 (1.2962) in the second
     assert found == {"1995-03": (2, 140.0, 19.7035), "1996-01": (3, 16.7283, 12.962), None: (3, 16.0, None)}
+
+
+def test_lines_are_not_shuffled_when_no_order_is_in_two_months(spark):
+    lines = spark.range(5000).selectExpr("concat('SO', id div 4) AS order_number", "concat('a|SO', id div 4, '|', id) AS sales_line_id", "concat('m', (id div 4) % 3) AS month")
+    lines = stage(lines, "lines-of-one-month")
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="8KB", spark__sql__adaptive__autoBroadcastJoinThreshold="8KB"):
+        found = quality.grain_over_months(quality.grain_state(lines, "month"), lines, "month")
+        plan = plan_of(found)
+    assert "BroadcastHashJoin [order_number" in plan and "SortMergeJoin" not in plan
+    assert found.first()["violations"] == 0
